@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, media, warc
 
 
 def queries() -> dict:
-    return {"op5_bpe": bpe.op5_bpe}
+    return {"op3_media": media.op3_media, "op5_bpe": bpe.op5_bpe, "op7_warc": warc.op7_warc}
 
 
 def oracles() -> dict:
-    return {}
+    return {"op7_warc": warc.ORACLE}
