@@ -80,3 +80,11 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with _did (doc_id, null as the largest long) and _th (hash of the text).
+
+    Rows that agree in both are copies of one row for the operators.
+    """
+    return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
