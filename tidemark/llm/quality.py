@@ -18,7 +18,7 @@ STEPS = 6
 #: Squared distances are told apart in steps of a 16th of an octave.
 GRID = 16
 #: Standard deviations under which a statistic's spread doesn't count (ridge of the covariance).
-RIDGE = (0.04, 0.15, 0.25, 0.25, 0.5)
+RIDGE = (0.08, 0.4, 0.6, 0.6, 1.0)
 #: Chance that a clean document's distance is over the cut, were the statistics normal.
 TAIL = 1e-12
 DIM = len(RIDGE)
@@ -100,21 +100,26 @@ def medians(rows: DataFrame, values: list[Column], unit: int = 256) -> DataFrame
 
 
 def factor(moments: DataFrame) -> DataFrame:
-    """g, means m0.. and the Cholesky factor l00.. of s00.. plus the ridge."""
+    """g, means m0.. and w00.., the inverse of the Cholesky factor of s00.. plus the ridge.
+
+    It is written out, so that the chain of steps isn't part of later plans.
+    """
     for i, j in PAIRS:
         inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         rest = F.col(f"s{i}{j}") + (RIDGE[i] ** 2 if i == j else 0.0) - inner
         moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return moments.select("g", *(f"m{i}" for i in range(DIM)), *(f"l{i}{j}" for i, j in PAIRS))
+    for j in range(DIM):
+        for i in range(j, DIM):
+            inner = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
+            moments = moments.withColumn(f"w{i}{j}", ((1.0 if i == j else 0.0) - inner) / F.col(f"l{i}{i}"))
+    return stored(moments.select("g", *(f"m{i}" for i in range(DIM)), *(f"w{i}{j}" for i, j in PAIRS)), "quality-fit")
 
 
 def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """rows of fitted groups with d2, the squared Mahalanobis distance."""
-    out = rows.join(fitted, "g")
-    for i in range(DIM):
-        inner = sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"y{i}", (F.col(X[i]) - F.col(f"m{i}") - inner) / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") ** 2 for i in range(1, DIM)), F.col("y0") ** 2)).drop(*fitted.columns[1:], *(f"y{i}" for i in range(DIM)))
+    centred = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(X)]
+    parts = [sum((F.col(f"w{i}{j}") * centred[j] for j in range(1, i + 1)), F.col(f"w{i}0") * centred[0]) for i in range(DIM)]
+    return rows.join(fitted, "g").withColumn("d2", sum((p * p for p in parts[1:]), parts[0] * parts[0])).drop(*fitted.columns[1:])
 
 
 def moments(sums: DataFrame, scale: float) -> DataFrame:
@@ -188,7 +193,7 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     ok = counted.filter(~base_failed()).select("*", *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
     ok = stored(grouped(ok), "quality-vectors")
     large = ok.groupBy("g").count().filter(F.col("count") >= LEAST_GROUP).select("g")
-    fitted = stored(mcd(ok.join(large, "g", "left_semi").select("g", *X)), "quality-fits")
+    fitted = mcd(ok.join(large, "g", "left_semi").select("g", *X))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = distances(ok, fitted).select(*columns, F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
     small = ok.join(fitted.select("g"), "g", "left_anti").select(*columns, F.lit(False).alias("base_failed"), F.lit(True).alias("kept"))
