@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, media, quality, sharding, warc
+from tidemark.llm import bpe, chat, linededup, media, quality, sharding, warc
 
 
 def queries() -> dict:
-    return {"op2_chat": chat.op2_chat, "op3_media": media.op3_media, "op5_bpe": bpe.op5_bpe, "op7_warc": warc.op7_warc, "op4_sharding": sharding.op4_sharding, "op9_quality": quality.op9_quality}
+    return {"op2_chat": chat.op2_chat, "op3_media": media.op3_media, "op5_bpe": bpe.op5_bpe, "op7_warc": warc.op7_warc, "op4_sharding": sharding.op4_sharding, "op9_quality": quality.op9_quality, "op10_linededup": linededup.op10_linededup}
 
 
 def oracles() -> dict:
-    return {"op2_chat": chat.ORACLE, "op4_sharding": sharding.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op4_sharding": sharding.ORACLE, "op7_warc": warc.ORACLE, "op10_linededup": linededup.ORACLE}
