@@ -18,6 +18,8 @@ ship(__name__)
 SHINGLE, BUDGET = 3, 3
 #: Fingerprints that one task joins, on average, and node pairs that it holds at once.
 TASK_ROWS, CHUNK = 100_000, 1 << 18
+#: Fingerprints below a node at which the join begins, on average, and code pairs that end it.
+NODE_ROWS, LEAF = 256, 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -104,7 +106,7 @@ def trie_links(codes: np.ndarray, top: int, budget: int) -> np.ndarray:
         turns = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
         same = (turns[a] == turns[b - 1]) & (turns[c] == turns[d - 1]) & (labels[a] == labels[c])
         a, b, c, d, err = (x[~same] for x in (a, b, c, d, err))
-        small = (b - a) * (d - c) <= 16
+        small = (b - a) * (d - c) <= LEAF
         if small.any():
             wide = (d - c)[small]
             sizes = (b - a)[small] * wide
@@ -146,14 +148,16 @@ def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     than fingerprints.
     """
     count = classes.count()
-    blocks = budget + 1 + (count > 1 << 28) + (count > 1 << 37)
+    blocks = budget + 1
+    while blocks < 64 and count / 2 ** (64 * (blocks - budget) / blocks) > NODE_ROWS:
+        blocks += 1
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - budget):
         bits = [i for c in chosen for i in range(cuts[c], cuts[c + 1])]
         masks.append((bits, sum(1 << (63 - i) for i in bits)))
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    parts = max(1, -(-count // TASK_ROWS))
+    parts = max(1, -(-count // TASK_ROWS))  # of each choice of blocks
     keyed = classes.select("fp", F.posexplode(F.array(*(F.lit(signed(m)).cast("long") for _, m in masks))).alias("t", "mask"))
     keyed = keyed.select("fp", "t", F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "t"), F.lit(parts)).alias("part"))
 
