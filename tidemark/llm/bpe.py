@@ -180,5 +180,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, ids: bool = False) -> DataFrame:
+    """The columns of encode_decode() as digests, with the ids themselves on demand."""
+    return encoded.select("doc_id", "n_tokens", *(["ids"] if ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
