@@ -1,4 +1,5 @@
 """Registered queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -23,7 +23,7 @@ ALIASES = {
 }
 
 #: Formats of timestamp strings, besides those that a cast to timestamp reads.
-TS_FORMATS = ["yyyyMMdd", "yyyyMMdd'T'HHmmssX", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MMM/yyyy:HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy HH:mm:ss"]
+TS_FORMATS = ["yyyyMMdd", "yyyyMMdd'T'HHmmssX", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MMM/yyyy:HH:mm:ss Z", "dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy HH:mm:ss"]
 
 
 class Field:
@@ -71,7 +71,8 @@ def timestamp_of(f: Field) -> Column:
     n = F.when(f.is_("BOOLEAN"), F.try_variant_get(f.value, "$", "boolean").cast("double")).otherwise(F.try_variant_get(f.value, "$", "double"))
     epoch = F.timestamp_micros(F.round(F.when(n > 1e12, n * 1e3).otherwise(n * 1e6)).cast("long"))
     text = F.try_variant_get(f.value, "$", "string")
-    parsed = F.coalesce(text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(x)) for x in TS_FORMATS))
+    plain = F.regexp_replace(text, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), ", "")
+    parsed = F.coalesce(text.try_cast("timestamp"), *(F.try_to_timestamp(plain, F.lit(x)) for x in TS_FORMATS))
     return F.when(f.number | f.is_("BOOLEAN"), epoch).when(f.is_("STRING"), parsed)
 
 
