@@ -27,11 +27,10 @@ TS_FORMATS = ["yyyyMMdd", "yyyyMMdd'T'HHmmssX", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/
 
 
 class Field:
-    """One key of a parsed record, with its JSON kind."""
+    """A VARIANT value with its JSON kind, as two columns."""
 
-    def __init__(self, record: str, key: str):
-        self.value = F.try_variant_get(record, f"$['{key}']", "variant")
-        self.kind = F.schema_of_variant(self.value)
+    def __init__(self, value: Column, kind: Column):
+        self.value, self.kind = value, kind
 
     def is_(self, *kinds: str) -> Column:
         out = F.lit(False)
@@ -52,18 +51,17 @@ class Field:
     @property
     def truthy(self) -> Column:
         """False for null, '', 0, false, [] and {}."""
-        return (
-            F.when(self.is_("STRING"), self.text != "")
-            .when(self.number, F.try_variant_get(self.value, "$", "double") != 0)
-            .when(self.is_("BOOLEAN"), F.try_variant_get(self.value, "$", "boolean"))
-            .when(self.is_("ARRAY", "OBJECT"), ~F.to_json(self.value).isin("[]", "{}"))
-            .otherwise(False)
-        )
+        plain = F.to_json(self.value)
+        return self.kind.isNotNull() & (self.kind != "VOID") & ~plain.isin('""', "false", "[]", "{}") & ~(self.number & (F.try_variant_get(self.value, "$", "double") == 0))
 
 
-def first(record: str, field: str, made) -> Column:
-    """made(Field) of the first alias whose value counts as given."""
-    return F.coalesce(*(F.when(f.truthy, made(f)) for f in (Field(record, k) for k in ALIASES[field])))
+def chosen(objects: DataFrame, record: str) -> DataFrame:
+    """For each field, under its name, the value and kind of the first alias that counts as given."""
+    def pick(names: list[str]) -> Column:
+        values = F.transform(F.array(*(F.try_variant_get(record, f"$['{k}']", "variant") for k in names)), lambda v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind")))
+        return F.get(F.filter(values, lambda f: Field(f["value"], f["kind"]).truthy), 0)
+
+    return objects.select(*(pick(names).alias(field) for field, names in ALIASES.items()))
 
 
 def timestamp_of(f: Field) -> Column:
@@ -100,15 +98,16 @@ def normalize(records: DataFrame, record: str = "record", keep_undated: bool = F
     unless keep_undated. An event without an id gets a stable hash of its
     fields. Duplicate ids stay.
     """
-    objects = records.filter(F.schema_of_variant(record).startswith("OBJECT"))
-    name = lambda field: F.coalesce(first(record, field, lambda f: f.text), F.lit("unknown"))
-    rows = objects.select(
-        first(record, "ts", timestamp_of).alias("ts"),
+    rows = chosen(records.filter(F.schema_of_variant(record).startswith("OBJECT")), record)
+    of = {field: Field(F.col(field)["value"], F.col(field)["kind"]) for field in ALIASES}
+    name = lambda field: F.coalesce(of[field].text, F.lit("unknown"))
+    rows = rows.select(
+        timestamp_of(of["ts"]).alias("ts"),
         *(name(c).alias(c) for c in ("product", "event_type", "asset_id")),
-        F.coalesce(first(record, "msg", lambda f: f.text), F.lit("")).alias("msg"),
-        F.coalesce(first(record, "context", context_of), F.lit("{}")).alias("context"),
-        *(F.coalesce(first(record, c, list_of), F.array().cast("array<string>")).alias(c) for c in ("tech", "attack", "risk_tag")),
-        first(record, "event_id", lambda f: f.text).alias("given"),
+        F.coalesce(of["msg"].text, F.lit("")).alias("msg"),
+        F.when(of["context"].kind.isNull(), "{}").otherwise(context_of(of["context"])).alias("context"),
+        *(F.when(of[c].kind.isNull(), F.array().cast("array<string>")).otherwise(list_of(of[c])).alias(c) for c in ("tech", "attack", "risk_tag")),
+        of["event_id"].text.alias("given"),
     )
     made = stable_id(ts_text(F.col("ts")), F.col("product"), F.col("event_type"), F.col("asset_id"), F.col("msg"))
     rows = rows.withColumn("event_id", F.coalesce("given", made))
