@@ -72,8 +72,9 @@ def hashing_vector(tokens_: Column | str, dim: int = 512, signed: bool = True, l
     raw = F.aggregate(hashes, zero, add)
     if not l2:
         return raw
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    from tidemark.functions.vectors import unit
+
+    return unit(raw)
 
 
 def stable_id(*parts: Column, length: int = 16) -> Column:

@@ -33,8 +33,9 @@ def square_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(v: Column | str) -> Column:
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(n > 0, x / n).otherwise(x))
+    """The vector of length one in its direction; a vector without length as it is."""
+    own = F.array(F.struct(doubles(v).alias("v"), norm(v).alias("n")))  # the length is found once, not per element
+    return F.get(F.transform(own, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x))), 0)
 
 
 def vector_sums(df: DataFrame, keys: list[str], vector: str, dim: int) -> DataFrame:

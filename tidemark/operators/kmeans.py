@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a week from which first centres are drawn, restarts, steps, and bytes of centres of one block of weeks.
 SAMPLE, INITS, STEPS, CENTRE_BYTES = 2000, 10, 100, 64 << 20
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 
 
 def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -42,7 +42,7 @@ def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: i
     for week, k in grid:
         ks.setdefault(week, []).append(k)
 
-    def start(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vector"].to_numpy()).astype(float)
         made = [(key[0], k, i, first_centres(x, min(k, len(x)), np.random.default_rng([seed, k, i])).ravel().tolist()) for k in ks.get(key[0], []) for i in range(inits if k > 1 else 1)]
         return pd.DataFrame(made, columns=["week", "k", "init", "centres"])
