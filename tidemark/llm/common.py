@@ -63,15 +63,14 @@ def stored(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark, place = df.sparkSession, fresh(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*keys) if keys else writer).parquet(place)
-    out = spark.read.schema(spark.read.parquet(place).schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
     out._place = place
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove a table of stored() that nothing needs any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._place)
+def removed(spark: SparkSession, place: str) -> None:
+    """Delete what lies at a place, which nothing needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -83,8 +82,16 @@ def filesystem(uri: str):
 
 
 def row_key(docs: DataFrame) -> DataFrame:
-    """docs with _did (doc_id, null as the largest long) and _th (hash of the text).
+    """_did (doc_id, null as the largest long), _th (hash of the text), and the row.
 
-    Rows that agree in both are copies of one row for the operators.
+    Rows that agree in both are copies of one row for the operators. doc_id,
+    text, lang and source follow; _row holds all columns, so that none of their
+    names can meet one that an operator uses.
     """
-    return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    own = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), *own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked_rows(keyed: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The columns of row_key()'s input again, some with new values."""
+    return keyed.select(*((changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in columns))

@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, stored, table
+from tidemark.llm.common import removed, ship, stored, table
 
 ship(__name__)
 
 #: Folds of crc32(doc_id): TEST is never learned from, TUNE teaches the weights first.
 FOLDS, TEST, TUNE = 5, 1, 0
 #: Tokens after which a task closes a chunk, and bytes of text for each bucket of counts.
-CHUNK_TOKENS, BUCKET_BYTES = 2_000_000, 32 << 20
+CHUNK_TOKENS, BUCKET_BYTES = 2_000_000, 8 << 20
+#: Bits of a pair's hash beyond those of the corpus size: one pair in a million shares its hash.
+SPARE_BITS = 20
 #: Frequencies are told apart in quarters of an octave when the weights are learned.
 GRID = 4
 ROUNDS = 60
@@ -38,8 +40,16 @@ def packed(codes: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(joined(data, 8), dtype=np.uint64)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, which packs better."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def joined(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -50,19 +60,23 @@ def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pairs(tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (previous token, token) keys, their hashes, and their order by hash.
+def pairs(tokens: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (previous token, token) pairs, each token's pair, and the pairs' hashes.
 
     Every text ends with the end token, which is also what precedes the first.
     """
-    end = tokens[-1]
-    keys = np.concatenate([[end], tokens[:-1]]).astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)
-    kinds = np.unique(keys)
-    codes = mixed(hashes[kinds >> np.uint64(32)], hashes[kinds & np.uint64(0xFFFFFFFF)])
-    return keys, kinds, np.argsort(codes)
-
-
-def chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    keys = np.concatenate([tokens[-1:], tokens[:-1]]).astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    kinds = keys[new]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    codes = mixed(hashes[kinds >> np.uint64(32)], hashes[kinds & np.uint64(0xFFFFFFFF)]) >> np.uint64(64 - bits)
+    return kinds, at, codes
+
+
+def chunks(docs: DataFrame, buckets: int, bits: int) -> DataFrame:
     """Token arrays of documents, and per chunk its distinct words and pairs with counts.
 
     kind t: a chunk's documents (ids, folds, sizes, data: tokens as indexes
@@ -92,20 +106,17 @@ def chunks(docs: DataFrame, buckets: int) -> DataFrame:
             hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in words]), ">u8").astype(np.uint64)[often]
             sizes = np.array([n for *_, n in docs_], np.int64)
             learn = np.repeat(np.array([f != TEST for _, f, _ in docs_]), sizes)
-            yield ("t", tune, chunk, -1, [i for i, *_ in docs_], [f for _, f, _ in docs_], sizes.tolist(), flat.astype("<u4").tobytes(), hashes.astype("<u8").tobytes())
-            keys, kinds, order = pairs(flat, hashes)
-            codes = mixed(hashes[kinds >> np.uint64(32)], hashes[kinds & np.uint64(0xFFFFFFFF)])
-            taken, n = np.unique(keys[learn], return_counts=True)
-            counts = np.zeros(len(kinds), np.uint32)
-            counts[np.searchsorted(kinds, taken)] = n
+            yield ("t", tune, chunk, -1, [i for i, *_ in docs_], [f for _, f, _ in docs_], sizes.tolist(), planes(flat), hashes.astype("<u8").tobytes())
+            kinds, at, codes = pairs(flat, hashes, bits)
+            counts, order = np.bincount(at, learn, minlength=len(kinds)), np.argsort(codes)
             by = np.argsort(hashes)
-            for kind, codes, counts in (("u", hashes[by], np.bincount(flat[learn], minlength=len(hashes))[by]), ("b", codes[order], counts[order])):
-                where = ((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            for kind, codes, counts, width in (("u", hashes[by], np.bincount(flat, learn, minlength=len(hashes))[by], 64), ("b", codes[order], counts[order], bits)):
+                where = ((codes >> np.uint64(width - 32)) * np.uint64(buckets)) >> np.uint64(32)
                 cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
                 for b in range(buckets):
                     part = slice(cuts[b], cuts[b + 1])
                     if cuts[b] < cuts[b + 1]:
-                        yield (kind, tune, chunk, b, [], [], [], packed(codes[part]), counts[part].astype("<u4").tobytes())
+                        yield (kind, tune, chunk, b, [], [], [], packed(codes[part]), planes(counts[part]))
 
         def batch(made):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
@@ -151,14 +162,14 @@ def totals(found: DataFrame) -> DataFrame:
     def own(asked: pa.Table) -> pa.Table:
         kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
         codes = [unpacked(x.as_py()) for x in asked.column("data")]
-        counts = [np.frombuffer(x.as_py(), "<u4") for x in asked.column("more")]
+        counts = [joined(x.as_py(), 4) for x in asked.column("more")]
         tune = asked.column("tune").to_pylist()
         sizes = [len(c) for c in codes]
         _, at = np.unique(np.concatenate(codes), return_inverse=True)
         every = np.bincount(at, np.concatenate(counts)).astype("<u8")
         base = np.bincount(at, np.concatenate([c * (not t) for c, t in zip(counts, tune, strict=True)])).astype("<u8")
         cuts = np.cumsum([0, *sizes])
-        rows = [(chunk, kind, bucket, t, every[at[s:e]].astype("<u8").tobytes(), base[at[s:e]].astype("<u8").tobytes() if t else b"") for chunk, t, s, e in zip(asked.column("chunk").to_pylist(), tune, cuts[:-1], cuts[1:], strict=True)]
+        rows = [(chunk, kind, bucket, t, planes(every[at[s:e]]), planes(base[at[s:e]]) if t else b"") for chunk, t, s, e in zip(asked.column("chunk").to_pylist(), tune, cuts[:-1], cuts[1:], strict=True)]
         rows.append((-1, kind, bucket, 0, np.array([(every > 0).sum(), every.sum()], "<u8").tobytes(), np.array([(base > 0).sum(), base.sum()], "<u8").tobytes()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "bucket", "tune", "data", "more"])
 
@@ -171,23 +182,23 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))) + 1, 0).astype(np.int64)
 
 
-def frequencies(tokens: pa.Table, answers: pa.Table, part: str, n: int) -> tuple[np.ndarray, ...]:
-    """For one chunk: token counts, its distinct pairs' f2, f1 and bucket, and each token's pair."""
-    flat = np.frombuffer(tokens.column("data")[0].as_py(), "<u4")
+def frequencies(tokens: pa.Table, answers: pa.Table, part: str, n: int, bits: int) -> tuple[np.ndarray, ...]:
+    """For one chunk: its tokens, their words' counts, its pairs' f2, f1 and bucket, each token's pair."""
+    flat = joined(tokens.column("data")[0].as_py(), 4)
     hashes = np.frombuffer(tokens.column("more")[0].as_py(), "<u8")
     answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    got = {k: np.concatenate([np.frombuffer(x.as_py(), "<u8") for x, kind in zip(answers.column(part), answers.column("kind").to_pylist(), strict=True) if kind == k]) for k in ("u", "b")}
+    got = {k: np.concatenate([joined(x.as_py(), 4) for x, kind in zip(answers.column(part), answers.column("kind").to_pylist(), strict=True) if kind == k]) for k in ("u", "b")}
     words = np.empty(len(hashes), np.int64)
     words[np.argsort(hashes)] = got["u"]
-    keys, kinds, order = pairs(flat, hashes)
+    kinds, at, codes = pairs(flat, hashes, bits)
     both = np.empty(len(kinds), np.int64)
-    both[order] = got["b"]
+    both[np.argsort(codes)] = got["b"]
     context = words[kinds >> np.uint64(32)]
     f1 = words[kinds & np.uint64(0xFFFFFFFF)] / max(n, 1)
-    return flat, words, both / np.maximum(context, 1), f1, context_bucket(context), keys, kinds
+    return flat, words, both / np.maximum(context, 1), f1, context_bucket(context), at
 
 
-def learned(found: DataFrame, answers: DataFrame, v: int, n: int, rounds: int = ROUNDS) -> np.ndarray:
+def learned(found: DataFrame, answers: DataFrame, v: int, n: int, bits: int, rounds: int = ROUNDS) -> np.ndarray:
     """The weights l2, l1, l0 of each context bucket.
 
     The TUNE fold's tokens are counted in cells of (bucket, f2, f1) on a
@@ -197,12 +208,12 @@ def learned(found: DataFrame, answers: DataFrame, v: int, n: int, rounds: int =
     """
 
     def cells(key, tokens: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, f2, f1, bucket, keys, kinds = frequencies(tokens, answers, "more", n)
-        times = np.bincount(np.searchsorted(kinds, keys), minlength=len(kinds))
+        _, _, f2, f1, bucket, at = frequencies(tokens, answers, "more", n, bits)
+        times = np.bincount(at)
         grid = lambda f: np.where(f > 0, np.round(np.log2(np.maximum(f, 1e-300)) * GRID), 1).astype(np.int64)
-        cell = np.stack([bucket, grid(f2), grid(f1)])
-        kinds, at = np.unique(cell, axis=1, return_inverse=True)
-        return pa.table({"b": kinds[0], "q2": kinds[1], "q1": kinds[2], "c": np.bincount(at.ravel(), times).astype(np.int64)})
+        cell = (bucket << 32) + ((grid(f2) + 32768) << 16) + grid(f1) + 32768
+        kinds, at = np.unique(cell, return_inverse=True)
+        return pa.table({"b": kinds >> 32, "q2": (kinds >> 16 & 65535) - 32768, "q1": (kinds & 65535) - 32768, "c": np.bincount(at, times).astype(np.int64)})
 
     chunk = found.filter("kind = 't' and tune = 1").select("chunk", "data", "more").groupBy("chunk")
     asked = answers.filter("chunk >= 0 and tune = 1").select("chunk", "kind", "bucket", "more").groupBy("chunk")
@@ -230,18 +241,21 @@ def scores(docs: DataFrame) -> DataFrame:
     text are not read.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = chunks(docs.select("doc_id", "text"), max(1, -(-size // BUCKET_BYTES)))
+    bits = min(64, max(size, 1 << 16).bit_length() + SPARE_BITS)
+    found = chunks(docs.select("doc_id", "text"), max(1, -(-size // BUCKET_BYTES)), bits)
     answers = totals(found)
+    for kind in ("u", "b"):  # answered, and as large as all the rest
+        removed(docs.sparkSession, f"{found._place}/kind={kind}")
     v = n = v0 = n0 = 0
     for row in answers.filter("chunk = -1 and kind = 'u'").select("data", "more").toLocalIterator():
         (dv, dn), (dv0, dn0) = (np.frombuffer(x, "<u8").tolist() for x in row)
         v, n, v0, n0 = v + dv, n + dn, v0 + dv0, n0 + dn0
-    weights = learned(found, answers, v0, n0)
+    weights = learned(found, answers, v0, n0, bits)
 
     def score(key, tokens: pa.Table, answers: pa.Table) -> pa.Table:
-        flat, words, f2, f1, bucket, keys, kinds = frequencies(tokens, answers, "data", n)
+        flat, words, f2, f1, bucket, at = frequencies(tokens, answers, "data", n, bits)
         p = weights[bucket, 0] * f2 + weights[bucket, 1] * f1 + weights[bucket, 2] / (v + 1)
-        logs = np.log10(p)[np.searchsorted(kinds, keys)]
+        logs = np.log10(p)[at]
         base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))
         sizes = tokens.column("sizes")[0].values.to_numpy()
         starts = np.cumsum(sizes) - sizes
