@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, stored, table
+from tidemark.llm.common import row_key, stored, table, unpacked_rows
 
 #: Words that a repeated run of lines has at least to be noticed at all.
 GRAM_WORDS = 25
@@ -92,23 +92,31 @@ def line_dedup(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WOR
     named n_lines or n_removed are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = row_key(docs.select(*columns)).join(repeats(docs, gram, window).hint("shuffle_hash"), DOC, "left")
-    raw = keyed.withColumn("_raw", F.split("text", "\n"))
-    kept = F.filter("_raw", lambda _, i: ~F.exists("cuts", lambda c: (c["a"] <= i) & (i <= c["b"])))
-    rows = raw.withColumn("_kept", F.when(F.col("cuts").isNotNull(), kept))
-    n = F.coalesce(F.size("_raw"), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    rows = cut(docs, gram, window)
+    return rows.select(*((F.col("new") if c == "text" else F.col("_row")[c]).alias(c) for c in columns), "n_lines", "n_removed")
+
+
+def cut(docs: DataFrame, gram: int, window: int) -> DataFrame:
+    """_row, new (the text after dedup), n_lines and n_removed."""
+    keyed = row_key(docs).select("_row", *DOC).join(repeats(docs, gram, window).hint("shuffle_hash"), DOC, "left")
+    raw = keyed.withColumn("text", F.col("_row")["text"]).withColumn("raw", F.split("text", "\n"))
+    kept = F.filter("raw", lambda _, i: ~F.exists("cuts", lambda c: (c["a"] <= i) & (i <= c["b"])))
+    rows = raw.withColumn("kept", F.when(F.col("cuts").isNotNull(), kept))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("raw"), F.lit(0))).cast("long")
     return rows.select(
-        *(F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in columns),
+        "_row",
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("new"),
         n.alias("n_lines"),
-        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_removed"),
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n - F.size("kept")).cast("long").alias("n_removed"),
     )
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """docs, all columns, with texts after line_dedup and n_chars of these."""
-    rows = line_dedup(docs)
-    return rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else rows.select(*docs.columns)
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+    return unpacked_rows(cut(docs, GRAM_WORDS, WINDOW_WORDS), docs.columns, **changed)
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

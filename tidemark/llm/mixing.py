@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, stored, table
+from tidemark.llm.common import row_key, stored, table, unpacked_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     src = src.withColumns({"cap": (F.col("source_size") * most).cast("double"), "ratio": F.col("source_size") * most / F.col("weight")})
     order, all_ = Window.orderBy("ratio", "k"), Window.partitionBy(F.lit(1))
     src = src.withColumns({"total": F.sum("source_size").over(all_) * share, "w_all": F.sum("weight").over(all_)})
-    level = (F.col("total") - (F.sum("cap").over(order) - F.col("cap"))) / (F.col("w_all") - (F.sum("weight").over(order) - F.col("weight")))
+    level = F.try_divide(F.col("total") - (F.sum("cap").over(order) - F.col("cap")), F.col("w_all") - (F.sum("weight").over(order) - F.col("weight")))
     src = src.withColumn("level", level)
     src = src.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "k", "level"))).over(all_)["level"])
     return src.select("k", "source", "source_size", "n_docs", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
@@ -57,7 +57,7 @@ def tilted(sizes: DataFrame, goals: DataFrame, most: int = COPIES) -> DataFrame:
     least = cells.groupBy("k").agg(F.min("size").alias("least"))
     state = goals.join(least, "k", "left")
     z0 = F.col("least") / F.col("mean")
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     state = state.withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
     state = state.withColumn("flat", F.when(F.col("source_size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(ratio >= most * (1 - 1e-12), float(most)))
     state = state.withColumns({"lo": F.least(F.lit(0.0), F.log(ratio) / z0), "hi": F.when(ratio > 1, F.log(F.lit(float(most))) / z0).otherwise(0.0)})
@@ -71,9 +71,9 @@ def tilted(sizes: DataFrame, goals: DataFrame, most: int = COPIES) -> DataFrame:
         new = state.join(terms.groupBy("k").agg(F.sum("a").alias("a"), F.sum("d").alias("d")), "k", "left")
         under = F.col("a") < F.col("target")
         new = new.withColumns({"lo": F.when(under, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(under, F.col("hi")).otherwise(F.col("lam"))})
-        step = F.col("lam") - F.col("a") / F.col("d") * F.log(F.col("a") / F.col("target"))
+        step = F.col("lam") - F.try_divide("a", "d") * F.log(F.try_divide("a", "target"))
         step = F.when((F.col("d") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2)
-        off = F.abs(F.col("a") / F.col("target") - 1)
+        off = F.abs(F.try_divide("a", "target") - 1)
         open_ = F.col("a").isNotNull() & (off > NEAR)
         new = new.select("k", "source_size", "target", "mean", "flat", "lo", "hi", F.when(open_, step).otherwise(F.col("lam")).alias("lam"), F.when(open_, off).otherwise(0.0).alias("off"))
         state = stored(new.select(*columns), "mix-state")
@@ -143,9 +143,10 @@ def moved(rows: DataFrame, move: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it."""
     copies = mix(docs).select("_did", "_th", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_k"), "copies").distinct()
-    keyed = row_key(docs).withColumn("_k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    keyed = row_key(docs).select("_row", "_did", "_th", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_k"))
     rows = keyed.join(copies.filter("copies > 0"), ["_did", "_th", "_k"])
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked_rows(rows, docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

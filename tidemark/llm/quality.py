@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, stored, table, words
+from tidemark.llm.common import GAP, row_key, stored, table, unpacked_rows, words
 
 #: A group of fewer documents is judged with its language, then with all.
 LEAST_GROUP = 200
@@ -203,11 +203,9 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    from tidemark.llm.common import row_key
-
     keyed = row_key(docs)
     good = verdicts(keyed, keep=("_did", "_th", "lang", "source")).filter("kept").select("_did", "_th").distinct()
-    return keyed.join(good, ["_did", "_th"], "left_semi").select(*docs.columns)
+    return unpacked_rows(keyed.join(good, ["_did", "_th"], "left_semi"), docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

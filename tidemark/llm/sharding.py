@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, shared_dir, stored, table
+from tidemark.llm.common import stored, table
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 64 << 20
@@ -115,14 +117,16 @@ def runs(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, place: str, limit: int = SHARD_BYTES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Write each shard's rows as a folder of Parquet files under `place`; the assignment."""
-    shared_dir(docs.sparkSession)
+    """Write each shard's rows as a folder of Parquet files under `place`; the assignment.
+
+    The shard is the partition column `_shard`. Rows whose keys are equal go to
+    the shards of their keys; where one hash is cut into runs, to the first.
+    """
     found = stored(assign(docs, limit, keys), "shards")
-    ids = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "shard").distinct()
-    same = None
-    for k in keys:
-        same = docs[k].eqNullSafe(ids[f"_{k}"]) if same is None else same & docs[k].eqNullSafe(ids[f"_{k}"])
-    docs.join(ids, same).drop(*(f"_{k}" for k in keys)).repartition("shard").write.partitionBy("shard").parquet(place or fresh(docs.sparkSession, "shards"))
+    ids = found.groupBy(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys))).agg(F.min("shard").alias("_shard"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    same = reduce(and_, (F.col(f"k{i}").eqNullSafe(F.col(f"_{i}")) for i in range(len(keys))))
+    rows.join(ids, same).select(*(F.col("_row")[c].alias(c) for c in docs.columns), "_shard").repartition("_shard").write.partitionBy("_shard").parquet(place)
     return found
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, ship, stored, table
+from tidemark.llm.common import row_key, ship, stored, table, unpacked_rows
 from tidemark.llm.components import connected_components
 
 ship(__name__)
@@ -204,7 +204,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET)
     first = rows.groupBy("component").agg(F.min(F.struct("_did", "_th")).alias("m")).select("m.*")
     again = rows.groupBy("_did", "_th").count().filter("count > 1").join(first, ["_did", "_th"], "left_semi")
     kept = keyed.join(first, ["_did", "_th"], "left_semi")
-    return (kept if again.isEmpty() else kept.dropDuplicates(["_did", "_th"])).select(*docs.columns)
+    return unpacked_rows(kept if again.isEmpty() else kept.dropDuplicates(["_did", "_th"]), docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
