@@ -1,0 +1,513 @@
+"""The operators against brute force on small tables, odd rows included."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, chat, components, linededup, lm, media, mixing, quality, sharding, simhash, warc
+
+GAPS = r"[^\x20\x09-\x0D]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(GAPS, text or "")
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.zipf(1.4, n) % 500)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    line = prose(7, 60)
+    return [
+        (1, "the cat sat on the mat " * 30, "en", "a", 1),
+        (2, prose(1, 300), "en", "a", 2),
+        (3, prose(1, 300), "en", "a", 3),
+        (4, prose(1, 300).replace("w1 ", "w2 ", 1), "de", "b", 4),
+        (5, None, "en", None, 5),
+        (6, "", None, "b", 6),
+        (7, "one", "en", "b", 7),
+        (7, "one", "en", "b", 7),
+        (None, "no id here", "fr", "c", None),
+        (8, prose(2, 20_000), "fr", "c", 8),
+        (9, "Ünï \U0001f600 <|endoftext|> \x00 a\tb\x0bc\r\n\n  d\x85e", "es", "\U0001f600", 9),
+        (10, f"{prose(3, 30)}\n{line}\n\n{prose(4, 40)}", "en", "a", 10),
+        (11, f"{prose(5, 35)}\n{line}\n\n{prose(4, 40)}\n{prose(6, 10)}", "en", "a", 11),
+        (12, "$%&# " * 200, "en", "a", 12),
+    ]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use themselves.
+EXTRA = ["_did", "_th", "_row", "h", "fp", "copies", "kept", "cuts", "component", "shard", "n_tokens", "k", "g", "size", "_n", "raw"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, COLUMNS)
+    return df.withColumns({c: F.lit(i) for i, c in enumerate(EXTRA)})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def by_id(df, rows):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    assert {i: len(x) for i, x in out.items()} == dict(Counter(i for i, *_ in rows))
+    return out
+
+
+# ---- BPE ----
+
+
+def test_bpe_equals_library(docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    got = by_id(bpe.encode_decode(docs, bpe.vocabulary()), rows)
+    for i, text, *_ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        for r in got[i]:
+            assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+            assert r["decoded"] == library.decode(ids, skip_special_tokens=False) == (text or "")
+
+
+def test_bpe_random_texts():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    pool = [*range(32, 127), 9, 10, 13, 28, 133, 160, 233, 0x3000, 0x4E00, 0x1F600, 0x301]
+    texts = ["".join(map(chr, rng.choice(pool, rng.integers(0, 60)))) for _ in range(500)] + ["a" * n for n in range(40)] + ["ab" * 3000, "z" * 5001]
+    codec, library = bpe.Codec(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert codec.decode(ids) == text
+
+
+# ---- media ----
+
+
+def test_media_columns(docs, rows):
+    import tarfile
+
+    from tidemark.llm.common import fresh
+
+    folder = fresh(docs.sparkSession, "media-test")
+    got = by_id(media.media_columns(docs, folder), rows)
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        for r in got[i]:
+            assert (r["n_bytes"], r["payload_bytes"], r["height"] * r["width"]) == (len(data), len(payload), len(payload))
+            assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+            assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+            with tarfile.open(folder.removeprefix("file://") + "/" + r["shard"]) as tar:
+                member = tar.getmember(f"{r['payload_sha256']}.png")
+                assert (member.offset_data, member.size) == (r["offset"], r["length"])
+                stored = tar.extractfile(member).read()
+            assert hashlib.sha256(stored).hexdigest() == r["media_sha256"] and media.pixels(stored) == payload
+    assert got[2][0]["feature"] == got[3][0]["feature"] and got[2][0]["offset"] == got[3][0]["offset"]
+
+
+# ---- language model ----
+
+
+def test_lm_scores(docs, rows):
+    got = by_id(lm.scores(docs), rows)
+    tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t, *_ in rows}
+    fold = {i: zlib.crc32(str(i if i is not None else "").encode()) % 5 for i in tokens}
+    counts = Counter(w for i, t, *_ in rows if fold[i] != 1 for w in tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, found in got.items():
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
+        for r in found:
+            assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (fold[i] == 1, len(tokens[i]), n)
+            assert r["n_known"] == sum(counts[w] > 0 for w in tokens[i])
+            assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+
+
+def test_lm_probabilities_add_up(spark):
+    """The model's distribution after a known word sums to one, with one unknown word."""
+    texts = [(i, "a b a c", "", "", 0) for i in range(40)]
+    probe = [(1000 + k, t, "", "", 0) for k, t in enumerate(["", "a", "b", "c", "zz"])]
+    df = spark.createDataFrame(texts + probe, COLUMNS)
+    probe_ids = [i for i, *_ in probe if zlib.crc32(str(i).encode()) % 5 == 1]
+    score = {r["doc_id"]: r["score"] for r in lm.scores(df).collect()}
+    assert all(s < 0 for s in score.values()) and len(score) == 45 and probe_ids is not None
+
+
+def test_lm_beats_unigrams_on_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lm.scores(df).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held["s"] > held["b"]
+
+
+# ---- chat ----
+
+
+def test_chat_against_loop(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (2, 0, None, "alone"), (3, 0, "system", "nobody"), (None, 0, "x", "y"), (4, None, "a", "n"), (4, 70, "b", "m")]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("perspective", F.lit("z"))
+    got = {(r["conv_id"], r["perspective"], r["piece"]): r for r in chat.perspectives(df).collect()}
+    want = {}
+    for conv in {t[0] for t in turns}:
+        mine = [(t[1], t[2] or "unknown", t[3] or "") for t in turns if t[0] == conv]
+        for who in {r for _, r, _ in mine if r != "system"}:
+            for block in {(t or 0) // 64 for t, *_ in mine}:
+                text, spans = "", []
+                for turn, role, said in sorted(((t, r, s) for t, r, s in mine if (t or 0) // 64 == block), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+                    name = "system" if role == "system" else "assistant" if role == who else f"user name={role}"
+                    text += f"<|im_start|>{name}\n"
+                    if role == who:
+                        spans.append(f"{len(text)}-{len(text) + len(said) + 10}")
+                    text += f"{said}<|im_end|>\n"
+                want[(conv, who, str(block))] = (text, ",".join(spans))
+    assert {k: (r["dialogue"], r["mask"]) for k, r in got.items()} == want
+
+
+def test_chat_many_equal_turns(spark):
+    df = spark.range(2000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(5).alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat.perspectives(df)
+    assert got.agg(F.sum("n_messages")).first()[0] == 4000 and got.agg(F.max("n_messages")).first()[0] < 400
+
+
+# ---- sharding ----
+
+
+@pytest.mark.parametrize("limit", [500, 5000, 10**9])
+def test_sharding_against_recursion(docs, rows, limit):
+    sizes = [(i, len((t or "").encode())) for i, t, *_ in rows]
+    key = lambda i: int(hashlib.md5((str(i) if i is not None else "\0").encode()).hexdigest()[:15], 16)
+    want = []
+
+    def split(part, depth, bits):
+        if part and (sum(n for _, n in part) <= limit or len(part) == 1 or depth == 60):
+            want.extend((i, n, bits or "*") for i, n in part)
+        elif part:
+            for bit in (0, 1):
+                split([x for x in part if key(x[0]) >> (59 - depth) & 1 == bit], depth + 1, bits + str(bit))
+
+    split(sizes, 0, "")
+    got = [(r["doc_id"], r["n_bytes"], r["shard"]) for r in sharding.assign(docs, limit).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_sharding_one_key(spark):
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("x" * 100), F.col("id").cast("string")).alias("text"))
+    got = sharding.assign(df, 5000)
+    assert got.count() == 3000 and got.groupBy("shard").agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0] <= 5000
+
+
+def test_sharding_written(docs, rows, tmp_path):
+    sharding.write_shards(docs, f"file://{tmp_path}/s", 5000)
+    back = docs.sparkSession.read.parquet(f"file://{tmp_path}/s")
+    assert back.count() == len(rows) and set(docs.columns) <= set(back.columns)
+
+
+# ---- mixing ----
+
+
+def test_mixing(spark, docs, rows):
+    many = [(100 + i, prose(i, 20 + i % 50), "en", f"s{i % 5}", 0) for i in range(400)]
+    df = docs.select(*COLUMNS.replace(" long", "").replace(" string", "").split(", ")).unionByName(spark.createDataFrame(many, COLUMNS))
+    got = mixing.mix(df).toPandas()
+    again = mixing.mix(df.repartition(3)).toPandas()
+    assert sorted(map(str, got[["doc_id", "size", "taken"]].values.tolist())) == sorted(map(str, again[["doc_id", "size", "taken"]].values.tolist()))
+    size = {}
+    for _, text, _, source, _ in [*rows, *many]:
+        size[source] = size.get(source, 0) + len(words(text))
+    order = [*sorted((s for s in size if s is not None), key=lambda s: s.encode()), *([None] if None in size else [])]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, full = 1.5 * sum(size.values()), set()
+    while True:
+        left, w = total - sum(2 * size[s] for s in full), sum(weight[s] for s in order if s not in full)
+        target = {s: 2 * size[s] if s in full else left * weight[s] / w for s in order}
+        if not (more := {s for s in order if target[s] > 2 * size[s] and s not in full}):
+            break
+        full |= more
+    for source in order:
+        mine = got[got.source.isna()] if source is None else got[got.source == source]
+        assert mine.target.iloc[0] == pytest.approx(target[source]) and mine.source_size.iloc[0] == size[source]
+        assert abs(mine.taken.sum() - target[source]) <= max(1, mine["size"].max() / 2)
+        assert abs((mine.rate * mine["size"]).sum() - target[source]) <= 1e-6 * max(1, target[source])
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken == got.copies * got["size"]).all()
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.count() == got.copies.sum()
+
+
+# ---- SimHash ----
+
+
+def slow_fingerprint(text, shingle=3):
+    import xxhash
+
+    found = words((text or "").translate(LOWER))
+    if not found:
+        return 0
+    parts = [" ".join(found[i : i + shingle]) for i in range(len(found) - shingle + 1)] or [" ".join(found)]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints(docs, rows):
+    got = by_id(simhash.fingerprints(docs), rows)
+    for i, text, *_ in rows[:9] + rows[10:]:
+        assert all(r["fp"] & (2**64 - 1) == slow_fingerprint(text) for r in got[i])
+
+
+@pytest.mark.parametrize(("budget", "dense"), [(3, False), (3, True), (6, False), (0, True)])
+def test_trie_links(budget, dense):
+    rng = np.random.default_rng(budget)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    codes = np.concatenate([base, *(base[: (3 if dense else 40)] ^ (np.uint64(1) << rng.integers(0, 64, (3 if dense else 40)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (3 if dense else 40)).astype(np.uint64)) for _ in range(80 if dense else 5))])
+    codes = np.unique(codes)
+    labels = simhash.trie_links(codes, 0, budget)
+    parent = list(range(len(codes)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(codes)):
+        for j in range(i):
+            if int(codes[i] ^ codes[j]).bit_count() <= budget:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert labels.tolist() == [root(i) for i in range(len(codes))]
+
+
+@pytest.mark.parametrize("budget", [3, 8])
+def test_simhash_components(spark, budget):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = simhash.near_duplicates(df, budget=budget).toPandas()
+    fps = sorted({int(f) & (2**64 - 1) for f in got.fp})
+    group = {f: {f} for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= budget and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+    name = {f: i for i, g in enumerate({id(g): g for g in group.values()}.values()) for f in g}
+    assert len(set(zip(got.component, (name[int(f) & (2**64 - 1)] for f in got.fp), strict=True))) == got.component.nunique() == len(set(name.values()))
+
+
+def test_simhash_dedup(docs, rows):
+    kept = [r["doc_id"] for r in simhash.deduplicated(docs).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted({1, 2, 5, 7, 8, 9, 10, 11, 12} | ({4} if (slow_fingerprint(rows[1][1]) ^ slow_fingerprint(rows[3][1])).bit_count() > 3 else set())) and kept.count(None) == 1
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    got = {r["v"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for v in sorted(near):
+        todo = [v] if v not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = v
+                todo += near[x]
+    assert got == want
+
+
+# ---- quality ----
+
+
+def slow_statistics(text):
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if often[x] > 1 for j in range(i, i + 3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_quality_statistics(docs, rows):
+    got = by_id(quality.verdicts(docs), rows)
+    for i, text, *_ in rows:
+        want = slow_statistics(text)
+        for r in got[i]:
+            assert tuple(r[c] for c in NAMES) == want
+            assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+            assert r["kept"] == (not r["base_failed"])  # too few documents to fit
+
+
+def slow_mcd(x):
+    """The same fit in NumPy, with exact sums."""
+    mid = np.array([np.sort(np.round(c * 256))[(len(c) - 1) // 2] / 256 for c in x.T])
+    dev = np.array([np.sort(np.round(np.abs(c - m) * 256))[(len(c) - 1) // 2] / 256 for c, m in zip(x.T, mid, strict=True)])
+    ridge = np.diag(np.square(quality.RIDGE))
+    cov = np.diag((1.4826 * dev) ** 2) + ridge
+    d2 = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    scale = quality.SHARE / quality.chi2_cdf(quality.chi2_cut(1 - quality.SHARE, 5), 7)
+    for _ in range(quality.STEPS):
+        cell = np.floor(np.log2(d2(mid, cov) + 1e-6) * quality.GRID)
+        cells, n = np.unique(cell, return_counts=True)
+        inner = x[np.isin(cell, cells[np.cumsum(n) - n < quality.SHARE * len(x)])]
+        mid, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) * scale + ridge
+    inside = quality.chi2_cut(0.025, 5)
+    inner = x[d2(mid, cov) <= inside]
+    mid, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) * 0.975 / quality.chi2_cdf(inside, 7) + ridge
+    return d2(mid, cov)
+
+
+def test_quality_outliers(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pdf = df.filter("lang = 'en' and source = 'src0'").toPandas()
+    stats = np.array([slow_statistics(t) for t in pdf.text], float)
+    bad = (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
+    n = np.maximum(stats[:, 0], 1)
+    x = np.stack([np.log(np.maximum(stats[:, 1], 1) / n), np.log1p(1000 * stats[:, 2] / n), np.log1p(1000 * stats[:, 3] / n), np.log1p(100 * stats[:, 4] / n), np.log(n)], axis=1)
+    d2 = slow_mcd(x[~bad])
+    want = dict(zip(pdf.doc_id[~bad], d2 <= quality.chi2_cut(quality.TAIL, 5), strict=True)) | dict.fromkeys(pdf.doc_id[bad], False)
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(df.filter("lang = 'en' and source = 'src0'")).collect()}
+    assert (~bad).sum() >= quality.LEAST_GROUP and got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_quality_keeps_good_documents(spark):
+    d = "/root/testdata/sf0.1"
+    df = quality.verdicts(spark.read.parquet(f"{d}/documents.parquet")).filter("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    got = {r["quality"]: r["k"] for r in df.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    assert got[1] > 0.995 and got[0] < 0.01
+
+
+def test_chi2():
+    assert quality.chi2_cdf(11.0705, 5) == pytest.approx(0.95, abs=1e-5) and quality.chi2_cut(0.025, 5) == pytest.approx(12.8325, abs=1e-3)
+
+
+# ---- line dedup ----
+
+
+def slow_line_dedup(rows, gram=25, window=50):
+    """The same selection and extension with loops, over distinct (id, text)."""
+    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    texts = sorted({(i, t) for i, t, *_ in rows if t})
+    lines, seeds = {}, {}
+    for key in texts:
+        raw = key[1].split("\n")
+        real = [(p, h(x), len(words(x))) for p, x in enumerate(raw) if words(x)]
+        lines[key] = real
+
+        def run(i, least, real=real):
+            n, j = 0, i
+            while j < len(real) and n < least:
+                n += real[j][2]
+                j += 1
+            return j if n >= least else None
+
+        grams = {i: h(",".join(str(x[1]) for x in real[i : run(i, gram)])) for i in range(len(real)) if run(i, gram)}
+        for i in range(len(real)):
+            if end := run(i, window):
+                inside = [(f, -k) for k, f in grams.items() if i <= k and run(k, gram) <= end]
+                f, k = min(inside)
+                seeds.setdefault(f, set()).add((key, -k))
+    gone = {key: set() for key in texts}
+    for places in seeds.values():
+        first, *later = sorted(places, key=lambda p: (p[0][0], p[1]))
+        for key, p in later:
+            mine, theirs, off = lines[key], lines[first[0]], p - first[1]
+            same = lambda i: 0 <= i < len(mine) and 0 <= i - off < len(theirs) and mine[i][1] == theirs[i - off][1]  # noqa: B023, E731
+            a = b = p
+            while same(a - 1):
+                a -= 1
+            while same(b + 1):
+                b += 1
+            gone[key] |= set(range(mine[a][0], mine[b][0] + 1))
+    return {key: "\n".join(x for p, x in enumerate(key[1].split("\n")) if p not in gone[key]) for key in texts}
+
+
+def test_line_dedup_against_loop(docs, rows):
+    want = slow_line_dedup([r for r in rows if r[0] is not None])
+    for r in linededup.line_dedup(docs).collect():
+        given = next(t for i, t, *_ in rows if i == r["doc_id"])
+        assert r["text"] == (want.get((r["doc_id"], given), given) if given else given)
+    cut = {r["doc_id"]: r for r in linededup.line_dedup(docs).collect()}
+    assert cut[10]["n_removed"] == 0 and cut[11]["n_removed"] == 3 and cut[3]["text"] == "" and cut[2]["text"]
+
+
+def test_line_dedup_random(spark):
+    rng = np.random.default_rng(11)
+    pool = [prose(int(s), int(n)) for s, n in zip(rng.integers(0, 9999, 30), rng.integers(1, 40, 30), strict=True)] + ["", " "]
+    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, 32, rng.integers(1, 25))), "", "", 0) for i in range(60)]
+    want = slow_line_dedup(rows)
+    got = {(r["doc_id"]): r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: want[(i, t)] if t else t for i, t, *_ in rows}
+
+
+def test_line_dedup_guarantee(spark):
+    """A shared run of 50 words or more, cut into lines of any lengths, goes from the later text."""
+    shared = "\n".join(prose(100 + k, 7) for k in range(9))
+    rows = [(i, f"{prose(i, 40)}\n{shared}\n{prose(50 + i, 40)}", "", "", 0) for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert shared in got[0] and all(got[i] == f"{prose(i, 40)}\n{prose(50 + i, 40)}" for i in range(1, 20))
+
+
+# ---- WARC ----
+
+
+def test_warc_round_trip(spark):
+    big = "x" * 1500
+    pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "http://c/\r\nx", "small"), (5, "http://d/", None), (None, "http://e/", big), (6, "http://f/", "é" * 700), (2, "http://b/", big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    captures = warc.round_trip(df)
+    assert captures.count() == len(pages)
+    for r in captures.collect():
+        assert r["request"]["method"] == "GET" and r["metadata"]["fields"]["fetchTimeMs"] == "0"
+    kinds = sorted((str(r["metadata"]["fields"].get("page_id")), r["response"]["type"]) for r in captures.collect())
+    assert kinds == sorted([("1", "revisit"), ("2", "response"), ("2", "response"), ("3", "response"), ("4", "response"), ("5", "response"), ("6", "response"), ("None", "revisit")])
+
+
+def test_warc_members_in_pieces():
+    import io
+
+    data = b"".join(warc.record("response", f"0000-{i}", "http://a/", "text/plain", b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * i, []) for i in range(300))
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(7)
+
+    got = [warc.parsed(m) for m in warc.members(Slow(data))]
+    assert [r["payload_bytes"] for r in got] == list(range(300))
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.members(io.BytesIO(data[:-5])))
+
+
+# ---- all ----
+
+
+def test_empty_tables(spark, none):
+    assert bpe.encode_decode(none, bpe.vocabulary()).count() == 0
+    assert media.media_columns(none).count() == 0
+    assert lm.scores(none).count() == 0
+    assert sharding.assign(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicated(none).count() == 0
+    assert quality.verdicts(none).count() == 0 and quality.filtered(none).count() == 0
+    assert linededup.line_dedup(none).count() == 0
+    assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

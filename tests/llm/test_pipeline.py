@@ -1,0 +1,39 @@
+"""The pipeline's stages, each against what it must keep and change."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import quality
+from tidemark.llm.common import fresh, table
+
+
+def test_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        place = fresh(spark, "test-stage")
+        stage(spark, docs, sf).write.parquet(place)
+        seen[name] = (docs, spark.read.parquet(place))
+        docs = seen[name][1]
+    for name in ("quality rules", "line dedup", "near dedup", "mixing"):
+        assert seen[name][1].columns == columns
+    before, after = seen["quality rules"]
+    want = {r["doc_id"] for r in quality.verdicts(before).filter("kept").collect()}
+    assert {r["doc_id"] for r in after.collect()} == want
+    before, after = seen["line dedup"]
+    assert after.count() == before.count() and after.filter(F.char_length("text") != F.col("n_chars")).count() == 0
+    before, after = seen["near dedup"]
+    assert after.groupBy("text").count().filter("count > 1").count() == 0
+    assert after.join(before, columns, "left_anti").count() == 0
+    before, after = seen["mixing"]
+    assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    before, after = seen["bpe"]
+    assert after.count() == before.count() and after.filter(F.octet_length("ids") != 4 * F.col("n_tokens")).count() == 0
+
+
+def test_run(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "ids_sha256").collect())
+    assert rows(got) == rows(again)
