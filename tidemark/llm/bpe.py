@@ -16,8 +16,8 @@ ship(__name__)
 
 #: The public split pattern of byte-level BPE, with Unicode's own white space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Words whose ids a worker remembers, and bytes in an output batch; neither changes results.
-REMEMBERED, BATCH_BYTES = 600_000, 16 << 20
+#: Words whose ids a worker remembers, and characters that it encodes at a time; neither changes results.
+REMEMBERED, BATCH_BYTES = 400_000, 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
