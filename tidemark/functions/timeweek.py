@@ -49,7 +49,7 @@ def age_days(ts: Column | str, now: Column) -> Column:
 def recency(ts: Column | str, now: Column, half_life_days: float | Column = 14.0) -> Column:
     """0.5 ** (age / half life): 1 for now and later, 0 for no timestamp."""
     half = half_life_days if isinstance(half_life_days, Column) else F.lit(float(half_life_days))
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days(ts, now)) / half), F.lit(0.0))
+    return F.when(_col(ts).isNull(), 0.0).otherwise(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days(ts, now)) / half))
 
 
 def fused(sim: Column, recent: Column, alpha: float | Column = 0.7) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import contains_any
-from tidemark.functions.timeweek import fused, iso_week_number, recency
+from tidemark.functions.timeweek import fused, iso_week_number, micros, recency
 from tidemark.functions.vectors import dot
 
 #: Queries are a caller's few rows; more than this many are joined without a broadcast.
@@ -55,7 +55,7 @@ def latest_at_k(events: DataFrame, queries: DataFrame, k: int = 10, alphas: list
     """
     alphas = alphas or [0.7]
     rows = scored(events, queries, 1.0, half_life_days).withColumn("relevant", contains_any("text_repr", F.col("kws")))
-    newest = rows.filter("relevant").groupBy("query").agg(F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("newest"))
+    newest = rows.filter("relevant").groupBy("query").agg(F.min_by("event_id", F.struct((-micros(F.col("ts"))).alias("t"), "event_id")).alias("newest"))
     rows = (rows.filter("relevant") if within else rows).select("query", "event_id", "sim", "recent")
     judged = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, [1.0, *(a for a in alphas if a != 1.0)]))))
     judged = judged.withColumn("score", fused(F.col("sim"), F.col("recent"), F.col("alpha")))
