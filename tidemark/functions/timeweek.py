@@ -38,6 +38,11 @@ def week_sort_key(week: Column | str) -> Column:
     return F.coalesce(part(0) * 100 + part(1), F.lit(-1))
 
 
+def week_label(ts: Column | str, product: Column | str) -> Column:
+    """[W14] product, by the ISO week's number."""
+    return F.concat(F.lit("[W"), F.weekofyear(_col(ts)).cast("string"), F.lit("] "), _col(product))
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

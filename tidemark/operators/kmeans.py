@@ -173,6 +173,12 @@ def elbow_picks(table: DataFrame) -> DataFrame:
     return bend.withColumn("r", F.row_number().over(order)).filter("r = 1").select("week", "k", F.round("bend", 6).alias("bend"))
 
 
+def elbow_curve(table: DataFrame) -> DataFrame:
+    """week, k, wss, is_elbow: the curves that a plot would show."""
+    picked = elbow_picks(table).select("week", "k", F.lit(True).alias("is_elbow"))
+    return table.join(picked, ["week", "k"], "left").withColumn("is_elbow", F.coalesce("is_elbow", F.lit(False)))
+
+
 def cluster_weeks(df: DataFrame, k: int | dict[str, int] = 6, least: int | None = None, seed: int = 42, inits: int = INITS) -> DataFrame:
     """df, of the kept weeks, with label. A week is kept with max(5, k) rows, or `least`."""
     sizes = week_sizes(df, least if least is not None else max(5, k if isinstance(k, int) else 5))

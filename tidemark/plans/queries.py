@@ -280,11 +280,11 @@ def alpha_sweep(spark, d):
 
 
 @query(f"""
-WITH {EVENTS}, {QS}, {scored_sql()}, t AS (SELECT query, event_id, sim, 0.7 * sim + (1 - 0.7::DOUBLE) * recent AS score, row_number() OVER (PARTITION BY query ORDER BY sim DESC, event_id)::INTEGER AS rank FROM sc)
-SELECT query, event_id, round(sim, 6) AS sim, round(score, 6) AS score, rank, row_number() OVER (PARTITION BY query ORDER BY score DESC, event_id)::INTEGER AS fused_rank FROM t WHERE rank <= 10
+WITH {EVENTS}, {QS}, {scored_sql()}, t AS (SELECT query, event_id, sim, 0.7 * sim + (1 - 0.7::DOUBLE) * recent AS score, row_number() OVER (PARTITION BY query ORDER BY sim DESC, event_id)::INTEGER AS rank, '[W' || week(ts) || '] ' || event_type AS label FROM sc)
+SELECT query, event_id, label, round(sim, 6) AS sim, round(score, 6) AS score, rank, row_number() OVER (PARTITION BY query ORDER BY score DESC, event_id)::INTEGER AS fused_rank FROM t WHERE rank <= 10
 """)
 def rerank_demo(spark, d):
-    return retrieval.rerank(events(spark, d), questions(spark, d)).select("query", "event_id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), "rank", "fused_rank")
+    return retrieval.rerank(events(spark, d), questions(spark, d)).select("query", "event_id", W.week_label("ts", "event_type").alias("label"), F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), "rank", "fused_rank")
 
 
 # ---- clusters and trends --------------------------------------------------------------
@@ -445,12 +445,19 @@ def silhouette_cosine(spark, d):
 WSS_ROWS = [("a", 2, 100.0), ("a", 3, 60.0), ("a", 4, 50.0), ("a", 5, 48.0), ("a", 6, 47.0), ("b", 2, 9.0), ("b", 3, 8.0), ("c", 2, 40.0), ("c", 3, 30.0), ("c", 4, 10.0), ("c", 5, 9.0)]
 
 
-@query("""
+ELBOW = """
 WITH t(week, k, wss) AS (VALUES """ + ", ".join(map(str, WSS_ROWS)) + """),
  b AS (SELECT *, lag(wss) OVER w - 2 * wss + lead(wss) OVER w AS bend, count(*) OVER (PARTITION BY week) AS n FROM t WINDOW w AS (PARTITION BY week ORDER BY k)),
  r AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY CASE WHEN n >= 3 THEN bend END DESC NULLS LAST, k) AS r FROM b)
-SELECT week, k, round(bend::DOUBLE, 6) AS bend FROM r WHERE r = 1
-""")
+"""
+
+
+@query(ELBOW + "SELECT week, k, wss::DOUBLE AS wss, r = 1 AS is_elbow FROM r")
+def elbow_curve(spark, d):
+    return kmeans.elbow_curve(spark.createDataFrame(WSS_ROWS, "week string, k int, wss double"))
+
+
+@query(ELBOW + "SELECT week, k, round(bend::DOUBLE, 6) AS bend FROM r WHERE r = 1")
 def elbow_pick(spark, d):
     return kmeans.elbow_picks(spark.createDataFrame(WSS_ROWS, "week string, k int, wss double"))
 
