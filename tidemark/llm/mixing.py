@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sized = row_key(docs).select(*("_did", "_th"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = stored(sized.withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     goals = stored(targets(sized, weights, share, most), "mix-targets")
-    rated = sized.join(tilted(sized, goals, most), "k").withColumn("rate", rate(most)).drop("lam", "flat", "mean")
+    rated = sized.join(stored(tilted(sized, goals, most), "mix-tilt"), "k").withColumn("rate", rate(most)).drop("lam", "flat", "mean")
     u = F.call_function("shiftrightunsigned", F.xxhash64("_did", "_th", "k"), F.lit(11)) / float(1 << 53)
     base = F.floor("rate").cast("long")
     rated = rated.withColumns({"base": base, "key": F.floor((u - (F.col("rate") - base) + 1) / 2 * DIGIT**ROUNDS).cast("long")})
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         cut = cut.join(at, "k", "left").select("k", F.when(past, (F.col("cut") + 1) * DIGIT).otherwise(F.col("at.digit")).alias("cut"), F.when(past, F.lit(-1.0)).otherwise(F.col("left") - (F.col("at.upto") - F.col("at.sum"))).alias("left"))
         cut = stored(cut, "mix-cut")
     ties = rated.filter("can").join(cut, "k").filter(F.col("key") == F.col("cut")).groupBy("k").agg(F.sum("size").alias("tied"))
-    cut = cut.join(ties, "k", "left").select("k", F.when(2 * F.col("left") > F.col("tied"), F.col("cut") + 1).otherwise(F.col("cut")).alias("cut"))
+    cut = stored(cut.join(ties, "k", "left").select("k", F.when(2 * F.col("left") > F.col("tied"), F.col("cut") + 1).otherwise(F.col("cut")).alias("cut")), "mix-cut")
     rows = rated.join(cut, "k").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("base") + (F.col("can") & (F.col("key") < F.col("cut"))).cast("long")))
     rows = stored(rows.drop("cut", "can", "base", "key"), "mix-copies")
     moves = []
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         for move in moves:
             now = moved(now, move)
         off = now.groupBy("k").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(goals.select("k", "target"), "k").select("k", (F.col("target") - F.col("taken")).alias("off"))
-        up = F.col("off") > 0
+        off, up = stored(off, "mix-off"), F.col("off") > 0
         able = now.join(off, "k").filter((F.col("size") > 0) & F.when(up, F.col("copies") < most).otherwise(F.col("copies") > 0))
         able = able.withColumn("then", F.abs(F.abs("off") - F.col("size"))).filter(F.col("then") < F.abs("off"))
         best = able.groupBy("k").agg(F.min(F.struct("then", F.xxhash64("_did", "_th").alias("r"), F.col("_did").alias("mdid"), F.col("_th").alias("mth"), F.when(up, 1).otherwise(-1).alias("by"))).alias("m"))
