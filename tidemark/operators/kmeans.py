@@ -97,6 +97,11 @@ def fit(df: DataFrame, ks: dict[str, list[int]], seed: int = 42, inits: int = IN
     are sent to every task.
     """
     rows = df.select("week", "vector").persist()
+    spread, cores = rows.select(F.spark_partition_id().alias("p")).distinct().count(), df.sparkSession.sparkContext.defaultParallelism
+    if spread < cores:  # a few large partitions would leave most cores idle in every step
+        rows, narrow = rows.repartition(cores).persist(), rows
+        rows.count()
+        narrow.unpersist()
     try:
         dim = (rows.select(F.size("vector")).first() or [1])[0]
         out: dict = {}

@@ -55,13 +55,20 @@ class Field:
         return self.kind.isNotNull() & (self.kind != "VOID") & ~plain.isin('""', "false", "[]", "{}") & ~(self.number & (F.try_variant_get(self.value, "$", "double") == 0))
 
 
-def chosen(objects: DataFrame, record: str) -> DataFrame:
-    """For each field, under its name, the value and kind of the first alias that counts as given."""
-    def pick(names: list[str]) -> Column:
-        values = F.transform(F.array(*(F.try_variant_get(record, f"$['{k}']", "variant") for k in names)), lambda v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind")))
+def of(record: str, field: str, made) -> Column:
+    """made(Field) of the first alias of a field that counts as given, else null.
+
+    The record and the Field are bound to variables of lambdas, so that each is
+    found once however often it is used, also where a filter on the result is
+    pushed below the projection that parses records.
+    """
+
+    def chosen(r: Column) -> Column:
+        values = F.transform(F.array(*(F.try_variant_get(r, f"$['{k}']", "variant") for k in ALIASES[field])), lambda v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind")))
         return F.get(F.filter(values, lambda f: Field(f["value"], f["kind"]).truthy), 0)
 
-    return objects.select(*(pick(names).alias(field) for field, names in ALIASES.items()))
+    found = F.filter(F.transform(F.array(record), chosen), lambda f: f.isNotNull())
+    return F.get(F.transform(found, lambda f: made(Field(f["value"], f["kind"]))), 0)
 
 
 def timestamp_of(f: Field) -> Column:
@@ -98,16 +105,16 @@ def normalize(records: DataFrame, record: str = "record", keep_undated: bool = F
     unless keep_undated. An event without an id gets a stable hash of its
     fields. Duplicate ids stay.
     """
-    rows = chosen(records.filter(F.schema_of_variant(record).startswith("OBJECT")), record)
-    of = {field: Field(F.col(field)["value"], F.col(field)["kind"]) for field in ALIASES}
-    name = lambda field: F.coalesce(of[field].text, F.lit("unknown"))
-    rows = rows.select(
-        timestamp_of(of["ts"]).alias("ts"),
-        *(name(c).alias(c) for c in ("product", "event_type", "asset_id")),
-        F.coalesce(of["msg"].text, F.lit("")).alias("msg"),
-        F.when(of["context"].kind.isNull(), "{}").otherwise(context_of(of["context"])).alias("context"),
-        *(F.when(of[c].kind.isNull(), F.array().cast("array<string>")).otherwise(list_of(of[c])).alias(c) for c in ("tech", "attack", "risk_tag")),
-        of["event_id"].text.alias("given"),
+    text = lambda field, default: F.coalesce(of(record, field, lambda f: f.text), F.lit(default))
+    # what isn't an object has no ts
+    objects = records.filter(F.schema_of_variant(record).startswith("OBJECT")) if keep_undated else records
+    rows = objects.select(
+        of(record, "ts", timestamp_of).alias("ts"),
+        *(text(c, "unknown").alias(c) for c in ("product", "event_type", "asset_id")),
+        text("msg", "").alias("msg"),
+        F.coalesce(of(record, "context", context_of), F.lit("{}")).alias("context"),
+        *(F.coalesce(of(record, c, list_of), F.array().cast("array<string>")).alias(c) for c in ("tech", "attack", "risk_tag")),
+        of(record, "event_id", lambda f: f.text).alias("given"),
     )
     made = stable_id(ts_text(F.col("ts")), F.col("product"), F.col("event_type"), F.col("asset_id"), F.col("msg"))
     rows = rows.withColumn("event_id", F.coalesce("given", made))
@@ -115,9 +122,9 @@ def normalize(records: DataFrame, record: str = "record", keep_undated: bool = F
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """record: a VARIANT per line; blank lines and lines that aren't JSON are left out."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.col("value") != "")
-    return lines.select(F.try_parse_json("value").alias("record")).filter(F.col("record").isNotNull())
+    """record: a VARIANT per line that may be an object; null where it isn't JSON."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.col("value").startswith("{"))
+    return lines.select(F.try_parse_json("value").alias("record"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:

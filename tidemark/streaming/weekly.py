@@ -12,8 +12,7 @@ from tidemark.sources.ingest import normalize
 def normalized_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Normalized events of JSONL files as they arrive in a folder."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    records = lines.select(F.try_parse_json(F.trim("value")).alias("record")).filter(F.col("record").isNotNull())
-    return normalize(records)
+    return normalize(lines.select(F.try_parse_json(F.trim("value")).alias("record")))
 
 
 def weekly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
