@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,15 +66,17 @@ def silhouette(df: DataFrame, keys: list[str], label: str, vector: str, dim: int
 
     The mean distance of a vector to a cluster is one less its dot product with
     the sum of the cluster's unit vectors over the cluster's size, so each row
-    meets a sum per cluster and no other row. Rows alone in a cluster count 0.
+    meets its key's array of cluster sums and no other row; rows aren't shuffled
+    by cluster. Rows alone in a cluster count 0.
     """
-    rows = df.select(*keys, F.col(label).alias("own"), unit(vector).alias("u"), F.monotonically_increasing_id().alias("_id"))
-    sums = vector_sums(rows, [*keys, "own"], "u", dim).withColumnRenamed("own", "other")
-    sums = sums.withColumn("clusters", F.count(F.lit(1)).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))))
-    both = rows.join(sums, keys) if keys else rows.crossJoin(F.broadcast(sums))  # a row per cluster
-    near = dot("u", "sums")
-    same = F.col("own") == F.col("other")
-    dist = F.when(same & (F.col("n") > 1), (F.col("n") - near) / (F.col("n") - 1)).when(~same, 1 - near / F.col("n"))
-    per = both.filter("clusters > 1").select(*keys, "_id", same.alias("same"), "n", dist.alias("dist")).groupBy(*keys, "_id").agg(F.max(F.when(F.col("same"), F.col("dist"))).alias("a"), F.max(F.when(F.col("same"), F.col("n"))).alias("n"), F.min(F.when(~F.col("same"), F.col("dist"))).alias("b"))
-    value = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)))
-    return per.groupBy(*keys).agg(F.avg(value).alias("silhouette"))
+    rows = df.select(*keys, F.col(label).alias("own"), unit(vector).alias("u"))
+    sums = vector_sums(rows, [*keys, "own"], "u", dim)
+    clusters = sums.groupBy(*keys).agg(F.collect_list(F.struct("own", "n", "sums")).alias("cs"))  # a few for each key
+    both = rows.join(clusters, keys) if keys else rows.crossJoin(F.broadcast(clusters))
+    near = F.transform("cs", lambda c: F.struct((c["own"] == F.col("own")).alias("same"), c["n"].alias("n"), dot("u", c["sums"]).alias("near")))
+    each = both.select(*keys, near.alias("d")).filter(F.size("d") > 1)
+    own = F.get(F.filter("d", lambda x: x["same"]), 0)
+    each = each.select(*keys, own.alias("own"), F.array_min(F.transform(F.filter("d", lambda x: ~x["same"]), lambda x: 1 - x["near"] / x["n"])).alias("b"))
+    a = (F.col("own.n") - F.col("own.near")) / (F.col("own.n") - 1)
+    value = F.when(F.col("own.n") == 1, 0.0).otherwise((F.col("b") - a) / F.greatest(a, F.col("b"), F.lit(1e-300)))
+    return each.groupBy(*keys).agg(F.avg(value).alias("silhouette"))
