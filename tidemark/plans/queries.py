@@ -33,6 +33,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where its files make fewer tasks than there are cores.
+
+    For steps that take far longer on a row than moving it; larger tables stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- views that several queries share -------------------------------------------------
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -149,7 +158,7 @@ FROM r
 """)
 def normalize_events(spark, d):
     """Raw JSON records, some with aliases, blanks and lists, through the normalizer."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"))
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     product = F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("app"), (F.col("user_id") % 4).cast("string")))
@@ -171,13 +180,13 @@ H32 = "('0x' || substr(sha1(t), 1, 8))::BIGINT"
 
 @query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
 def tokenize_docs(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens("text").alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query(f"SELECT t AS token, n, {H32} AS h, {H32} % 512 AS slot FROM (SELECT t, count(*) AS n FROM (SELECT unnest({TOKENS}) AS t FROM documents) GROUP BY t)")
 def hash_tokens(spark, d):
-    t = table(spark, d, "documents").select(F.explode(T.tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    t = spread(table(spark, d, "documents").select("text")).select(F.explode(T.tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return t.select("token", "n", T.hash32("token").alias("h")).withColumn("slot", F.pmod("h", F.lit(512)))
 
 
@@ -186,7 +195,7 @@ WITH t AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents), s AS (SELECT do
 SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s WHERE v <> 0
 """)
 def hashing_vector_sparse(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens("text").alias("t"))
     return T.hashed_vectors(t, "doc_id", "t").withColumn("value", F.round("value", 6))
 
 
@@ -196,7 +205,7 @@ WITH t AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(text), '[\\p
 SELECT lang, list(t ORDER BY r) AS terms FROM r WHERE r <= 6 GROUP BY lang
 """)
 def top_terms_by_lang(spark, d):
-    return T.top_terms(table(spark, d, "documents"), ["lang"], "text")
+    return T.top_terms(spread(table(spark, d, "documents").select("lang", "text")), ["lang"], "text")
 
 
 @query("""
@@ -484,7 +493,7 @@ def elbow_pick_k(spark, d):
 @query()
 def embed_documents(spark, d):
     """Dense hashing vectors of events by the Arrow encoder, as their sums."""
-    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.lit("app").alias("product"), "event_type", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("asset_id"), F.col("event_type").alias("msg"), F.col("props").alias("context"), *(F.array().cast("array<string>").alias(c) for c in ("tech", "attack", "risk_tag")))
+    e = spread(table(spark, d, "events")).select(F.col("event_id").cast("string").alias("event_id"), F.lit("app").alias("product"), "event_type", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("asset_id"), F.col("event_type").alias("msg"), F.col("props").alias("context"), *(F.array().cast("array<string>").alias(c) for c in ("tech", "attack", "risk_tag")))
     return encode.embed(e, 128).select("event_id", "text_repr", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(V.norm("vector"), 6).alias("norm"))
 
 
