@@ -17,6 +17,8 @@ SHARE = 0.75
 STEPS = 6
 #: Squared distances are told apart in steps of a 16th of an octave.
 GRID = 16
+#: Medians, from which the steps start, are found on a grid of this many cells a unit.
+UNIT = 64
 #: Standard deviations under which a statistic's spread doesn't count (ridge of the covariance).
 RIDGE = (0.08, 0.4, 0.6, 0.6, 1.0)
 #: Chance that a clean document's distance is over the cut, were the statistics normal.
@@ -90,7 +92,7 @@ def vector() -> list[Column]:
     ]
 
 
-def medians(rows: DataFrame, values: list[Column], unit: int = 256) -> DataFrame:
+def medians(rows: DataFrame, values: list[Column], unit: int = UNIT) -> DataFrame:
     """Per group g the medians m0.. of values on a grid of 1/unit, from counts."""
     cells = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.round(v * unit).cast("long").alias("q")) for i, v in enumerate(values)))).alias("c"))
     counts = cells.groupBy("g", "c.f", "c.q").count()
@@ -148,7 +150,7 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     fit is reweighted: it takes all documents within the 97.5 % point.
     Scatter is made consistent with the normal distribution and gets RIDGE.
     """
-    mid = medians(rows, [F.col(x) for x in X])
+    mid = stored(medians(rows, [F.col(x) for x in X]), "quality-medians")
     spread = medians(rows.join(mid, "g"), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)])
     start = mid.join(spread.select("g", *(F.col(f"m{i}").alias(f"q{i}") for i in range(DIM))), "g")
     fitted = factor(start.select("g", *(f"m{i}" for i in range(DIM)), *((F.pow(1.4826 * F.col(f"q{i}"), 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS)))
@@ -173,7 +175,8 @@ def grouped(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     by_key = rows.groupBy("_k", "_l").count()
     by_key = by_key.withColumn("of", F.sum("count").over(Window.partitionBy("_l")))
     g = F.when(F.col("count") >= least, F.concat(F.lit("1"), "_k")).when(F.col("of") >= least, F.concat(F.lit("2"), "_l")).otherwise(F.lit("3"))
-    return rows.join(by_key.select("_k", g.alias("g")), "_k").drop("_k", "_l")
+    named = stored(by_key.select("_k", g.alias("g")), "quality-groups")
+    return rows.join(named, "_k").drop("_k", "_l")
 
 
 def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), tail: float = TAIL) -> DataFrame:
@@ -192,7 +195,7 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     counted = stored(statistics(docs, text, keep), "quality-counts")
     ok = counted.filter(~base_failed()).select("*", *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
     ok = stored(grouped(ok), "quality-vectors")
-    large = ok.groupBy("g").count().filter(F.col("count") >= LEAST_GROUP).select("g")
+    large = stored(ok.groupBy("g").count().filter(F.col("count") >= LEAST_GROUP).select("g"), "quality-large")
     fitted = mcd(ok.join(large, "g", "left_semi").select("g", *X))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = distances(ok, fitted).select(*columns, F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
