@@ -275,6 +275,9 @@ def test_trie_links(budget, dense):
     codes = np.concatenate([base, *(base[: (3 if dense else 40)] ^ (np.uint64(1) << rng.integers(0, 64, (3 if dense else 40)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (3 if dense else 40)).astype(np.uint64)) for _ in range(80 if dense else 5))])
     codes = np.unique(codes)
     labels = simhash.trie_links(codes, 0, budget)
+    more = rng.integers(0, 2**64, 8, dtype=np.uint64)[rng.integers(0, 8, len(codes) * 3)]
+    twice = np.sort(np.repeat(codes[:40], 3 * len(codes) // 40 + 1)[: len(codes) * 3])
+    wide = simhash.trie_links(twice, 0, budget, more[: len(twice)], budget + 30)
     parent = list(range(len(codes)))
 
     def root(x):
@@ -288,22 +291,34 @@ def test_trie_links(budget, dense):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert labels.tolist() == [root(i) for i in range(len(codes))]
+    parent = list(range(len(twice)))
+    for i in range(len(twice)):
+        near = np.bitwise_count(twice[:i] ^ twice[i])
+        for j in np.flatnonzero((near <= budget) & (near + np.bitwise_count(more[:i] ^ more[i]) <= budget + 30)).tolist():
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    assert wide.tolist() == [root(i) for i in range(len(twice))]
 
 
-@pytest.mark.parametrize("budget", [3, 8])
-def test_simhash_components(spark, budget):
+@pytest.mark.parametrize(("budget", "total"), [(3, None), (8, None), (8, 22), (4, 60)])
+def test_simhash_components(spark, budget, total):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = simhash.near_duplicates(df, budget=budget).toPandas()
-    fps = sorted({int(f) & (2**64 - 1) for f in got.fp})
+    got = simhash.near_duplicates(df, budget=budget, total=total).toPandas()
+    plain = lambda f: int(f) & (2**64 - 1)
+    keys = [(plain(r.fp), plain(r.fq) if total else 0) for r in got.itertuples()]
+    fps = sorted(set(keys))
     group = {f: {f} for f in fps}
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if (a ^ b).bit_count() <= budget and group[a] is not group[b]:
+            d, e = (a[0] ^ b[0]).bit_count(), (a[1] ^ b[1]).bit_count()
+            if (d <= budget if total is None else min(d, e) <= budget and d + e <= total) and group[a] is not group[b]:
                 group[a] |= group[b]
                 for x in group[b]:
                     group[x] = group[a]
     name = {f: i for i, g in enumerate({id(g): g for g in group.values()}.values()) for f in g}
-    assert len(set(zip(got.component, (name[int(f) & (2**64 - 1)] for f in got.fp), strict=True))) == got.component.nunique() == len(set(name.values()))
+    pairs = set(zip(got.component, (name[k] for k in keys), strict=True))
+    assert len(pairs) == got.component.nunique() == len(set(name.values()))
+    assert (got.groupby("component").doc_id.transform("min") == got["first"]).all()
 
 
 def test_simhash_dedup(docs, rows):
@@ -359,8 +374,8 @@ def test_quality_statistics(docs, rows):
 
 def slow_mcd(x):
     """The same fit in NumPy, with exact sums."""
-    mid = np.array([np.sort(np.round(c * 256))[(len(c) - 1) // 2] / 256 for c in x.T])
-    dev = np.array([np.sort(np.round(np.abs(c - m) * 256))[(len(c) - 1) // 2] / 256 for c, m in zip(x.T, mid, strict=True)])
+    mid = np.array([np.sort(np.floor(c * quality.UNIT + 0.5))[(len(c) - 1) // 2] / quality.UNIT for c in x.T])
+    dev = np.array([np.sort(np.floor(np.abs(c - m) * quality.UNIT + 0.5))[(len(c) - 1) // 2] / quality.UNIT for c, m in zip(x.T, mid, strict=True)])
     ridge = np.diag(np.square(quality.RIDGE))
     cov = np.diag((1.4826 * dev) ** 2) + ridge
     d2 = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
