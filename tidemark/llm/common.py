@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 import tempfile
 import uuid
@@ -50,7 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)  # without a scheme it is on the default file system
+    return slashes(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
+def slashes(uri: str) -> str:
+    """file:/a as file:///a, which both Arrow and Hadoop read."""
+    return "file:///" + uri[6:].lstrip("/") if uri.startswith("file:/") else uri
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -83,7 +88,7 @@ def filesystem(uri: str):
     """The Arrow file system of a URI and the path on it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return fs.FileSystem.from_uri(slashes(uri))
 
 
 def row_key(docs: DataFrame) -> DataFrame:
