@@ -177,7 +177,8 @@ def marked(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive the pages, read the archives back, and assemble the captures."""
     folder = folder or fresh(pages.sparkSession, "warc")
-    return stored(transactions(records(write(marked(pages), folder), folder)), "warc-captures")
+    found = stored(records(write(marked(pages), folder), folder), "warc-records")
+    return stored(transactions(found), "warc-captures")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
