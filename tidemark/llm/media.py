@@ -43,7 +43,7 @@ def png(payload: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def header(data: bytes) -> tuple[int, int, int]:
@@ -130,7 +130,7 @@ def index(rows: DataFrame) -> DataFrame:
 
 
 def metadata(objects: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """width, height, bits, media_bytes from header-only range reads.
+    """objects with width, height, bits, media_bytes from header-only range reads.
 
     With payloads, each object is then read whole, and its digests, checksum
     and feature are added: the mean and the entropy of its samples and an
@@ -149,7 +149,7 @@ def metadata(objects: DataFrame, folder: str, payloads: bool = True) -> DataFram
                         file.close()
                     name, file = row["shard"], fs.open_input_file(f"{base}/{row['shard']}")
                 width, height, bits = header(file.read_at(HEADER_BYTES, row["offset"]))
-                made = {"digest": row["digest"], "media_bytes": row["length"], "width": width, "height": height, "bits": bits}
+                made = row | {"media_bytes": row["length"], "width": width, "height": height, "bits": bits}
                 if payloads:
                     data = file.read_at(row["length"], row["offset"])
                     payload = pixels(data)
@@ -162,7 +162,7 @@ def metadata(objects: DataFrame, folder: str, payloads: bool = True) -> DataFram
         if file is not None:
             file.close()
 
-    fields = [("digest", pa.string()), ("media_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32())]
+    fields = [("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("media_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32())]
     if payloads:
         fields += [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     schema = pa.schema(fields)
@@ -193,9 +193,8 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or fresh(docs.sparkSession, "media")
     rows = store(docs, folder)
-    objects = index(rows)
-    read = stored(metadata(objects, folder), "media-objects")
-    return rows.select("doc_id", "n_bytes", "digest").join(objects, "digest").join(read, "digest")
+    objects = stored(metadata(index(rows), folder), "media-objects")
+    return rows.select("doc_id", "n_bytes", "digest").join(objects, "digest")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
