@@ -404,6 +404,27 @@ def test_quality_outliers(spark):
     assert (~bad).sum() >= quality.LEAST_GROUP and got == want and 0 < sum(want.values()) < len(want)
 
 
+def test_quality_judges_small_groups(spark):
+    """Rows of a small source go by the fit of all of their language, those of a small language by that of all."""
+    text = lambda i: "\n".join(f"{prose(31 * i + k, 30)} u{i}x{k}" for k in range(8 + i % 5))
+    junk = lambda i: " ".join(f"#$%& {'q' * 30}{i}x{k} *|<>" for k in range(80))
+    rows = [(i, text(i), "en", "large", 0) for i in range(300)]
+    rows += [(1000 + i, junk(i) if i < 40 else text(1000 + i), "en", "small", 0) for i in range(60)]
+    rows += [(2000 + i, junk(100 + i) if i < 20 else text(2000 + i), None, "small", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    x = [r[0] for r in rows]
+    v = {r["doc_id"]: list(r)[1:] for r in quality.statistics(df).select("doc_id", *quality.vector()).collect()}
+    tongue = [i for i in x if i < 2000]
+    d2 = dict(zip(tongue, slow_mcd(np.array([v[i] for i in tongue])), strict=True))
+    every = dict(zip(x, slow_mcd(np.array([v[i] for i in x])), strict=True))
+    cut = quality.chi2_cut(quality.TAIL, 5)
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.verdicts(df).collect()}
+    assert not any(failed for failed, _ in got.values())
+    for i, (_, kept) in got.items():
+        if i >= 1000:
+            assert kept == ((every if i >= 2000 else d2)[i] <= cut) == (not (i < 1040 or 2000 <= i < 2020))
+
+
 def test_quality_keeps_good_documents(spark):
     d = "/root/testdata/sf0.1"
     df = quality.verdicts(spark.read.parquet(f"{d}/documents.parquet")).filter("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")

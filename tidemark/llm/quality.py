@@ -168,15 +168,25 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
 
 
 def grouped(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
-    """rows with g: language and source, or language, or all, whichever is large enough."""
+    """rows with g: language and source, or language, or all, whichever is large enough.
+
+    fits lists the groups whose fit a row is part of: g itself, and its
+    language and all where some row is judged with these, so that such a fit
+    is over every row of the language or the table. All are fitted from
+    `least` rows on.
+    """
     key = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     tongue = F.coalesce("lang", F.lit("\x00"))
     rows = rows.withColumns({"_k": key, "_l": tongue})
     by_key = rows.groupBy("_k", "_l").count()
     by_key = by_key.withColumn("of", F.sum("count").over(Window.partitionBy("_l")))
     g = F.when(F.col("count") >= least, F.concat(F.lit("1"), "_k")).when(F.col("of") >= least, F.concat(F.lit("2"), "_l")).otherwise(F.lit("3"))
-    named = stored(by_key.select("_k", g.alias("g")), "quality-groups")
-    return rows.join(named, "_k").drop("_k", "_l")
+    named = stored(by_key.select("_k", "_l", "count", g.alias("g")), "quality-groups")
+    tongues = named.filter("g LIKE '2%'").select("_l", F.col("g").alias("_g2")).distinct()
+    total = named.agg((F.sum("count") >= least).alias("enough"), F.max(F.col("g") == "3").alias("needed"))
+    named = named.join(tongues, "_l", "left").crossJoin(F.broadcast(total))
+    fits = F.array_compact(F.array(F.when(F.col("g").startswith("1"), F.col("g")), F.col("_g2"), F.when(F.col("enough") & F.col("needed"), F.lit("3"))))
+    return rows.join(named.select("_k", "g", fits.alias("fits")), "_k").drop("_k", "_l")
 
 
 def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), tail: float = TAIL) -> DataFrame:
@@ -187,16 +197,16 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     repeated words, length; on log scales), grouped by language and source; a
     vector is rejected if its robust distance is over the `tail` point of the
     chi-squared distribution. A null language or source is a value of its own.
-    Groups under LEAST_GROUP are judged with their language, or with all
-    documents; fewer than LEAST_GROUP in all: nothing but base_failed counts.
+    Groups under LEAST_GROUP are judged by the fit of all documents of their
+    language, or of all documents; fewer than LEAST_GROUP in all: nothing but
+    base_failed counts.
     Repeated rows are judged alike. `keep` names the columns that identify a
     row; lang and source must be among them.
     """
     counted = stored(statistics(docs, text, keep), "quality-counts")
     ok = counted.filter(~base_failed()).select("*", *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
     ok = stored(grouped(ok), "quality-vectors")
-    large = stored(ok.groupBy("g").count().filter(F.col("count") >= LEAST_GROUP).select("g"), "quality-large")
-    fitted = mcd(ok.join(large, "g", "left_semi").select("g", *X))
+    fitted = mcd(ok.select(F.explode("fits").alias("g"), *X))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = distances(ok, fitted).select(*columns, F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
     small = ok.join(fitted.select("g"), "g", "left_anti").select(*columns, F.lit(False).alias("base_failed"), F.lit(True).alias("kept"))
