@@ -1,9 +1,10 @@
 """The pipeline's stages, each against what it must keep and change."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import quality
+from tidemark.llm import quality, simhash
 from tidemark.llm.common import fresh, table
 
 
@@ -37,3 +38,17 @@ def test_run(spark):
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "ids_sha256").collect())
     assert rows(got) == rows(again)
+
+
+def test_near_dedup_links_every_pair_within_total(spark):
+    """Pairs that differ in 22 of 128 bits, dealt in every way over the two halves."""
+    rng = np.random.default_rng(8)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    rows = []
+    for i in range(corpus_pipeline.TOTAL + 1):
+        a, b = (int(x) for x in rng.integers(0, 2**64, 2, dtype=np.uint64))
+        rows += [(2 * i, a, b), (2 * i + 1, flip(a, i), flip(b, corpus_pipeline.TOTAL - i))]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    df = spark.createDataFrame([(i, signed(a), signed(b)) for i, a, b in rows], "id long, fp long, fq long")
+    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(df, corpus_pipeline.BUDGET, corpus_pipeline.TOTAL).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(corpus_pipeline.TOTAL + 1)}
