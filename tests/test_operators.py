@@ -63,6 +63,20 @@ def test_kmeans_inertia_is_that_of_the_centres(spark):
     assert e == pytest.approx(kmeans.nearest(x, centres)[1].sum(), rel=1e-3)
 
 
+def test_first_centres_are_drawn_from_all_vectors(spark):
+    """However often vectors repeat, each group of them gets a centre."""
+    rng = np.random.default_rng(6)
+    x = [(8 * np.eye(4)[c] + rng.normal(scale=0.1, size=4)).tolist() for c in range(4) for _ in range(3)]
+    df = spark.createDataFrame([("w", v) for v in x], "week string, vector array<double>")
+    often = df.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(2500)))).drop("_")
+    (cost, centres) = kmeans.fit(often, {"w": [4]}, inits=3)["w", 4]
+    assert len(np.unique(centres.round(6), axis=0)) == 4
+    means = np.array(x).reshape(4, 3, 4).mean(axis=1)
+    assert cost == pytest.approx(2500 * ((np.array(x).reshape(4, 3, 4) - means[:, None]) ** 2).sum(), rel=1e-6)
+    same = spark.createDataFrame([("w", [1.0, 2.0])] * 30 + [("w", [1.0, 3.0])], "week string, vector array<double>")
+    assert kmeans.fit(same, {"w": [2]}, inits=1)["w", 2][0] == 0 and len(kmeans.fit(same, {"w": [3]}, inits=1)["w", 3][1]) == 3
+
+
 def test_k_choices(spark):
     df = blobs(spark)
     assert kmeans.pick_by_silhouette(df, 2, 5, inits=2) == {"2024-W01": 3, "2024-W02": 3}

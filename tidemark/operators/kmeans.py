@@ -3,7 +3,8 @@
 Lloyd's steps run for all weeks, cluster numbers and restarts together: a task
 assigns its rows to the nearest centres and returns one partial sum for each
 centre, which are added up by key. No week ever meets in one task, however
-large; first centres come from a bounded sample of each week.
+large. Equal vectors of a week are one row with a count. First centres are
+drawn from all of these, one after the other, by squared distance.
 """
 
 from __future__ import annotations
@@ -13,43 +14,73 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a week from which first centres are drawn, restarts, steps, and bytes of centres of one block of weeks.
-SAMPLE, INITS, STEPS, CENTRE_BYTES = 2000, 10, 100, 64 << 20
+#: Restarts, steps, and bytes of centres of one block of weeks.
+INITS, STEPS, CENTRE_BYTES = 10, 100, 64 << 20
 TOLERANCE = 1e-4
 
 
-def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres far apart: each is drawn by squared distance to those before."""
-    centres = x[[rng.integers(len(x))]]
-    while len(centres) < k:
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-        centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
-    return centres
-
-
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None], 0)
     return d.argmin(axis=1), d.min(axis=1)
 
 
+def uniform(h: np.ndarray, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each hash and turn, the same wherever the row is."""
+    z = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(12)).astype(float) * 2.0**-52 + 2.0**-53
+
+
+def first_centres(rows: DataFrame, counts: dict[str, int], seed: int, inits: int) -> dict:
+    """(week, init) -> counts[week] centres far apart, or a centre for each vector if these are fewer.
+
+    Each is drawn from all rows by squared distance to those before, times n:
+    the row with the least exponential number of that rate wins, so a task
+    returns one row for each week and restart. The first k are those for k.
+    """
+    found: dict = {}
+    hashed = rows.select("week", "vector", "n", F.xxhash64("vector", F.lit(seed)).alias("h"))
+    for j in range(max(counts.values())):
+        shared = rows.sparkSession.sparkContext.broadcast({(w, i): found.get((w, i)) for w, k in counts.items() for i in range(inits) if j < k and (j == 0 or len(found.get((w, i), ())) == j)})
+
+        def draw(batches, j=j, shared=shared):
+            best: dict = {}
+            for pdf in batches:
+                for week, part in pdf.groupby("week"):
+                    x = np.stack(part["vector"].to_numpy()).astype(float)
+                    n, h = part["n"].to_numpy(float), part["h"].to_numpy(np.int64).view(np.uint64)
+                    for (w, i), centres in shared.value.items():
+                        if w == week:
+                            # distances by subtraction: those of a centre's own row are zero
+                            d = np.ones(len(x)) if centres is None else np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+                            with np.errstate(divide="ignore"):
+                                race = -np.log(uniform(h, i << 20 | j)) / (n * d)
+                            at = int(race.argmin())
+                            if np.isfinite(race[at]) and race[at] < best.get((w, i), (np.inf,))[0]:
+                                best[(w, i)] = (race[at], x[at].tolist())
+            yield pd.DataFrame([(w, i, r, v) for (w, i), (r, v) in best.items()], columns=["week", "init", "race", "vector"])
+
+        drawn = hashed.mapInPandas(draw, "week string, init int, race double, vector array<double>").groupBy("week", "init").agg(F.min(F.struct("race", "vector")).alias("b")).collect()
+        for r in drawn:
+            old = found.get((r["week"], r["init"]))
+            new = np.array([r["b"]["vector"]])
+            found[(r["week"], r["init"])] = new if old is None else np.vstack([old, new])
+        shared.unpersist()
+    return found
+
+
 def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int) -> dict:
-    """(week, k) -> (inertia, centres) for one block of weeks."""
+    """(week, k) -> (inertia, centres) for one block of weeks; rows: week, vector, n."""
     spark = rows.sparkSession
-    order = Window.partitionBy("week").orderBy(F.xxhash64("vector"), F.xxhash64(F.col("vector"), F.lit(seed)))
-    sample = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SAMPLE).select("week", "vector")
-    ks: dict[str, list[int]] = {}
+    most: dict[str, int] = {}
     for week, k in grid:
-        ks.setdefault(week, []).append(k)
-
-    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vector"].to_numpy()).astype(float)
-        made = [(key[0], k, i, first_centres(x, min(k, len(x)), np.random.default_rng([seed, k, i])).ravel().tolist()) for k in ks.get(key[0], []) for i in range(inits if k > 1 else 1)]
-        return pd.DataFrame(made, columns=["week", "k", "init", "centres"])
-
-    found = sample.filter(F.col("week").isin(list(ks))).groupBy("week").applyInPandas(start, "week string, k int, init int, centres array<double>").collect()
+        most[week] = max(k, most.get(week, 0))
+    found = first_centres(rows, most, seed, inits)
     dim = rows.select(F.size("vector")).first()[0]
-    state = {(r["week"], r["k"], r["init"]): np.array(r["centres"]).reshape(-1, dim) for r in found}
+    # a week with fewer than k vectors repeats its first one
+    padded = lambda c, k: np.vstack([c[:k], np.repeat(c[:1], max(0, k - len(c)), axis=0)])
+    state = {(w, k, i): padded(found[(w, i)], k) for w, k in grid for i in range(inits if k > 1 else 1)}
     inertia = dict.fromkeys(state, np.inf)
     active = set(state)
     for _ in range(steps):
@@ -57,22 +88,22 @@ def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: i
             break
         shared = spark.sparkContext.broadcast({c: state[c] for c in active})
 
-        def partial(batches):
+        def partial(batches, shared=shared):
             sums: dict = {}
             for pdf in batches:
                 for week, part in pdf.groupby("week"):
-                    x = np.stack(part["vector"].to_numpy()).astype(float)
+                    x, n = np.stack(part["vector"].to_numpy()).astype(float), part["n"].to_numpy(float)
                     for (w, k, i), centres in shared.value.items():
                         if w == week:
                             label, d = nearest(x, centres)
                             hot = np.zeros((len(centres), len(x)))
-                            hot[label, np.arange(len(x))] = 1
-                            new = (hot.sum(axis=1), hot @ x, np.bincount(label, d, minlength=len(centres)))
+                            hot[label, np.arange(len(x))] = n
+                            new = (hot.sum(axis=1), hot @ x, np.bincount(label, d * n, minlength=len(centres)))
                             old = sums.get((w, k, i))
                             sums[(w, k, i)] = new if old is None else tuple(a + b for a, b in zip(old, new, strict=True))
             yield pd.DataFrame([(w, k, i, j, n[j], s[j].tolist(), e[j]) for (w, k, i), (n, s, e) in sums.items() for j in range(len(n))], columns=["week", "k", "init", "label", "n", "sums", "cost"])
 
-        parts = rows.select("week", "vector").mapInPandas(partial, "week string, k int, init int, label int, n double, sums array<double>, cost double")
+        parts = rows.mapInPandas(partial, "week string, k int, init int, label int, n double, sums array<double>, cost double")
         added = parts.groupBy("week", "k", "init", "label").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *(F.sum(F.get("sums", d)).alias(f"_{d}") for d in range(dim)))
         cost: dict = {}
         for r in added.select("week", "k", "init", "label", "n", "cost", F.array(*(F.col(f"_{d}") for d in range(dim))).alias("sums")).collect():
@@ -96,7 +127,7 @@ def fit(df: DataFrame, ks: dict[str, list[int]], seed: int = 42, inits: int = IN
     Weeks are taken in blocks whose centres stay under CENTRE_BYTES, for these
     are sent to every task.
     """
-    rows = df.select("week", "vector").persist()
+    rows = df.groupBy("week", F.col("vector").cast("array<double>").alias("vector")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("week").isin([w for w, found in ks.items() if found])).persist()
     spread, cores = rows.select(F.spark_partition_id().alias("p")).distinct().count(), df.sparkSession.sparkContext.defaultParallelism
     if spread < cores:  # a few large partitions would leave most cores idle in every step
         rows, narrow = rows.repartition(cores).persist(), rows
