@@ -39,6 +39,16 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_picks_reach_over_six_clusters(spark, tmp_path):
+    rows = [(8 * c + i, [10.0 * (j == c) + 0.1 * (j == 8 + i) for j in range(64)], c) for c in range(8) for i in range(3)]
+    rows = [(n, x, c) for n, (_, x, c) in enumerate(rows)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = spark.range(24).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("silhouette_pick_k", "elbow_pick_k"):
+        assert [(r["week"], r["k"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [("2024-W01", 8)]
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -475,19 +475,19 @@ def elbow_pick(spark, d):
 def kmeans_weekly(spark, d):
     """Sizes of the six clusters of each week."""
     e = events(spark, d).withColumn("week", W.iso_week("ts"))
-    return kmeans.cluster_weeks(e, 6, inits=4).groupBy("week", "label").agg(F.count(F.lit(1)).alias("size"))
+    return kmeans.cluster_weeks(e).groupBy("week", "label").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query()
 def silhouette_pick_k(spark, d):
     e = events(spark, d).withColumn("week", W.iso_week("ts"))
-    return spark.createDataFrame(sorted(kmeans.pick_by_silhouette(e, 2, 6, inits=2).items()), "week string, k int")
+    return spark.createDataFrame(sorted(kmeans.pick_by_silhouette(e).items()), "week string, k int")
 
 
 @query()
 def elbow_pick_k(spark, d):
     e = events(spark, d).withColumn("week", W.iso_week("ts"))
-    return kmeans.elbow_picks(kmeans.elbow_table(e, 2, 6, inits=2))
+    return kmeans.elbow_picks(kmeans.elbow_table(e))
 
 
 @query()
