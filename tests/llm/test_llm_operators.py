@@ -439,41 +439,20 @@ def test_chi2():
 # ---- line dedup ----
 
 
-def slow_line_dedup(rows, gram=25, window=50):
-    """The same selection and extension with loops, over distinct (id, text)."""
-    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+def slow_line_dedup(rows, window=50):
+    """All runs of lines of 50 words or more, over distinct (id, text): those that occurred before go."""
     texts = sorted({(i, t) for i, t, *_ in rows if t})
-    lines, seeds = {}, {}
+    first, gone = {}, {key: set() for key in texts}
     for key in texts:
-        raw = key[1].split("\n")
-        real = [(p, h(x), len(words(x))) for p, x in enumerate(raw) if words(x)]
-        lines[key] = real
-
-        def run(i, least, real=real):
-            n, j = 0, i
-            while j < len(real) and n < least:
-                n += real[j][2]
-                j += 1
-            return j if n >= least else None
-
-        grams = {i: h(",".join(str(x[1]) for x in real[i : run(i, gram)])) for i in range(len(real)) if run(i, gram)}
-        for i in range(len(real)):
-            if end := run(i, window):
-                inside = [(f, -k) for k, f in grams.items() if i <= k and run(k, gram) <= end]
-                f, k = min(inside)
-                seeds.setdefault(f, set()).add((key, -k))
-    gone = {key: set() for key in texts}
-    for places in seeds.values():
-        first, *later = sorted(places, key=lambda p: (p[0][0], p[1]))
-        for key, p in later:
-            mine, theirs, off = lines[key], lines[first[0]], p - first[1]
-            same = lambda i: 0 <= i < len(mine) and 0 <= i - off < len(theirs) and mine[i][1] == theirs[i - off][1]  # noqa: B023, E731
-            a = b = p
-            while same(a - 1):
-                a -= 1
-            while same(b + 1):
-                b += 1
-            gone[key] |= set(range(mine[a][0], mine[b][0] + 1))
+        real = [(p, x, len(words(x))) for p, x in enumerate(key[1].split("\n")) if words(x)]
+        for a in range(len(real)):
+            n = 0
+            for b in range(a, len(real)):
+                n += real[b][2]
+                if n >= window:
+                    old, end = first.setdefault(tuple(x for _, x, _ in real[a : b + 1]), (key, b))
+                    if old != key or a > end:
+                        gone[key] |= set(range(real[a][0], real[b][0] + 1))
     return {key: "\n".join(x for p, x in enumerate(key[1].split("\n")) if p not in gone[key]) for key in texts}
 
 
@@ -495,6 +474,20 @@ def test_line_dedup_random(spark):
     assert got == {i: want[(i, t)] if t else t for i, t, *_ in rows}
 
 
+def test_line_dedup_beyond_first_occurrence(spark):
+    """A run whose middle occurs still earlier elsewhere, and texts that repeat themselves."""
+    rows = []
+    for k in range(12):
+        middle = "\n".join(prose(900 + 20 * k + j, 12) for j in range(5))
+        run = f"{prose(300 + k, 5)}\n{middle}\n{prose(400 + k, 5)}"
+        rows += [(10 * k, f"{prose(500 + k, 9)}\n{middle}\n{prose(600 + k, 9)}", "", "", 0), (10 * k + 1, f"{prose(700 + k, 9)}\n{run}", "", "", 0), (10 * k + 2, f"{run}\n{prose(800 + k, 9)}", "", "", 0)]
+    rows += [(1000, "\n".join([prose(1, 12)] * 40), "", "", 0), (1001, "\n".join(f"{prose(2, 10)}\n\n{prose(3, 45)}" for _ in range(9)), "", "", 0)]
+    want = slow_line_dedup(rows)
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: want[(i, t)] for i, t, *_ in rows}
+    assert all(got[10 * k + 2] == prose(800 + k, 9) for k in range(12)) and got[1000] == "\n".join([prose(1, 12)] * 5)
+
+
 def test_line_dedup_guarantee(spark):
     """A shared run of 50 words or more, cut into lines of any lengths, goes from the later text."""
     shared = "\n".join(prose(100 + k, 7) for k in range(9))

@@ -2,94 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, stored, table, unpacked_rows
 
-#: Words that a repeated run of lines has at least to be noticed at all.
+#: Words of the grams whose minima are selected.
 GRAM_WORDS = 25
-#: Words from which on a repeated run is noticed for certain.
+#: Words from which on a repeated run of lines goes.
 WINDOW_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 DOC = ["_did", "_th"]
 
 
-def hashed(text: Column) -> Column:
-    """60 bits of the MD5."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
 def lines_of(keyed: DataFrame) -> DataFrame:
-    """_did, _th, rp, h, n: a text's lines that have words, one row per text.
+    """_did, _th, lines: place, two hashes and number of words of each line that has words, one row per text."""
+    line = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("p"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("n")))
+    rows = keyed.select(*DOC, F.filter(line, lambda x: x["n"] > 0).alias("lines"))
+    return rows.filter(F.size("lines") > 0).dropDuplicates(DOC)
 
-    rp: their places among all lines, h: their hashes, n: their numbers of words.
-    """
-    raw = keyed.select(*DOC, F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"))
-    real = raw.withColumn("rp", F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.regexp_like(F.get("raw", i), F.lit(WORD))))
-    rows = real.select(*DOC, "rp", F.transform("rp", lambda i: hashed(F.get("raw", i))).alias("h"), F.transform("rp", lambda i: F.regexp_count(F.get("raw", i), F.lit(WORD))).alias("n"))
-    return rows.filter(F.size("rp") > 0).dropDuplicates(DOC)
 
-
-def seeds(lines: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
-    """_did, _th, i, f: the selected grams of each text, by first line and hash.
+def windows(lines: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
+    """_did, _th, f, at, w, x, a, b: the windows of each text and their fingerprints.
 
     The gram at a line is the least run of lines from it that has `gram` words,
-    the window at a line the least run that has `window` words. Of the grams
-    within a window, the one with the least hash is selected, the last of
-    equal ones. A run of `window` words or more that two texts share holds a
-    whole window in both, with the same grams, hence a gram selected in both.
+    the window at a line the least run from it or up to it that has `window`
+    words; a and b are its first and last line's places, w and x its hash. Of
+    the grams within the window from a line on, the one with the least hash f
+    is selected, the last of equal ones, and at is its place; a window up to a
+    line has the selection of the window from its first line on. So equal
+    windows have equal fingerprints at one distance from their beginnings.
     """
-    rows = lines.select(*DOC, F.posexplode(F.arrays_zip("h", "n")).alias("i", "x")).select(*DOC, "i", "x.h", F.col("x.n").cast("long").alias("n"))
-    rows = rows.withColumn("s", F.sum("n").over(Window.partitionBy(*DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    rows = lines.select(*DOC, F.explode("lines").alias("l")).select(*DOC, "l.p", F.struct("l.h", "l.g").alias("h"), "l.n")
+    rows = rows.withColumn("e", F.sum("n").over(Window.partitionBy(*DOC).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("s", F.col("e") - F.col("n")).drop("n")
     # a line is needed as long as the words before it, from the first line on, are too few
-    least = lambda words: Window.partitionBy(*DOC).orderBy("s").rangeBetween(0, words - 1)
-    end = F.col("s") + F.col("n")
-    rows = rows.withColumns({"hs": F.collect_list("h").over(least(gram)), "ge": F.max(end).over(least(gram)), "we": F.max(end).over(least(window))})
-    rows = rows.withColumn("f", F.when(F.col("ge") - F.col("s") >= gram, hashed(F.array_join(F.col("hs").cast("array<string>"), ","))))
-    cand = F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", (-F.col("i")).alias("i"), "ge"))).over(least(window))
-    rows = rows.select(*DOC, "s", "we", cand.alias("cand")).filter(F.col("we") - F.col("s") >= window)
+    ahead = lambda words: Window.partitionBy(*DOC).orderBy("s").rangeBetween(0, words - 1)
+    behind = Window.partitionBy(*DOC).orderBy("e").rangeBetween(1 - window, 0)
+    rows = rows.withColumns({"gh": F.collect_list("h").over(ahead(gram)), "ge": F.max("e").over(ahead(gram)), "wh": F.collect_list("h").over(ahead(window)), "we": F.max("e").over(ahead(window)), "wb": F.max("p").over(ahead(window))})
+    gram_ = F.when(F.col("ge") - F.col("s") >= gram, F.struct(F.xxhash64("gh").alias("f"), (-F.col("p")).alias("i"), "ge"))
+    rows = rows.withColumn("gram", gram_).drop("gh", "ge").withColumn("cand", F.collect_list("gram").over(ahead(window)))
     best = F.array_min(F.filter("cand", lambda x: x["ge"] <= F.col("we")))
-    return rows.select(*DOC, best.alias("b")).select(*DOC, (-F.col("b.i")).alias("i"), "b.f").distinct()
+    rows = rows.select(*DOC, "p", "h", "s", "e", "wh", "we", "wb", F.when(F.col("we") - F.col("s") >= window, best).alias("best"))
+    rows = rows.withColumns({"vh": F.collect_list("h").over(behind), "first": F.first(F.struct("p", "s", "we", "best.f", "best.i")).over(behind)})
+    made = lambda f, i, h, a, b: F.struct(f.alias("f"), (-i).alias("at"), F.xxhash64(h).alias("w"), F.xxhash64(F.lit(1), h).alias("x"), a.alias("a"), b.alias("b"))
+    forward = F.when(F.col("best").isNotNull(), made(F.col("best.f"), F.col("best.i"), F.col("wh"), F.col("p"), F.col("wb")))
+    # the window up to a line is another one only if it is longer than that from its first line on
+    backward = F.when((F.col("e") - F.col("first.s") >= window) & (F.col("e") > F.col("first.we")), made(F.col("first.f"), F.col("first.i"), F.col("vh"), F.col("first.p"), F.col("p")))
+    return rows.select(*DOC, F.explode(F.array_compact(F.array(forward, backward))).alias("w")).select(*DOC, "w.*")
 
 
 def repeats(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
-    """_did, _th, cuts: the runs [a, b] of each text's lines that repeat earlier ones.
-
-    A selected gram that occurs earlier (by document, text hash, line) as a
-    selected gram is compared with its first such occurrence only, so that
-    work is linear in occurrences however common a gram is. The match is then
-    extended both ways as far as the lines are equal.
+    """_did, _th, cuts: the runs [a, b] of each text's lines that repeat earlier ones, in order and apart.
+
+    Positions of a fingerprint that occurs once are dropped. Each position that
+    is left is extended both ways, to all the windows that it stands for; a
+    window goes if its first occurrence (by document, text hash, line) is
+    another one that doesn't overlap it. Occurrences are compared with the
+    first one of their own window, not of their fingerprint, so that work is
+    linear however common a fingerprint is and no longer run is missed: every
+    line of a repeated run of `window` words or more is in a window from a line
+    of the run on or up to one.
     """
-    lines = stored(lines_of(row_key(docs)), "lines")
-    found = stored(seeds(lines, gram, window), "line-seeds")
-    place = F.struct(*DOC, "i")
-    first = found.groupBy("f").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    later = found.join(first, "f").filter(place != F.col("first"))
-    # pairs of a text and an earlier one at one offset: their grams are extended together
-    pairs = later.groupBy(*DOC, F.col("first._did").alias("odid"), F.col("first._th").alias("oth"), (F.col("i") - F.col("first.i")).alias("off")).agg(F.collect_set("i").alias("at"))
-    own = lines.select(*DOC, F.col("h").alias("mine"), "rp")
-    other = lines.select(F.col("_did").alias("odid"), F.col("_th").alias("oth"), F.col("h").alias("theirs"))
-    both = pairs.join(own, DOC).join(other, ["odid", "oth"])
-    # lines that differ, or have no counterpart, end a match
-    x = F.sequence(F.lit(0), F.size("mine") - 1)
-    odd = F.filter(x, lambda i: (i < F.col("off")) | ~F.get("mine", i).eqNullSafe(F.when(i >= F.col("off"), F.get("theirs", F.greatest(i - F.col("off"), F.lit(0))))))
-    both = both.withColumn("odd", odd).select(*DOC, "rp", "mine", "odd", F.explode("at").alias("p"))
-    begin = F.coalesce(F.array_max(F.filter("odd", lambda y: y < F.col("p"))), F.lit(-1)) + 1
-    after = F.coalesce(F.array_min(F.filter("odd", lambda y: y > F.col("p"))), F.size("mine"))
-    ranges = both.select(*DOC, F.get("rp", begin).alias("a"), F.get("rp", after - 1).alias("b"))
-    return ranges.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
+    found = stored(windows(lines_of(row_key(docs)), gram, window), "line-windows")
+    place = F.struct(*DOC, "at")
+    twice = found.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi")).select("f")
+    known = stored(found.join(twice, "f", "left_semi").drop("f", "at"), "line-repeats")
+    first = known.groupBy("w", "x").agg(F.min(F.struct(*DOC, "a", "b")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    own = (F.col("_did") == F.col("first._did")) & (F.col("_th") == F.col("first._th"))
+    later = known.join(first, ["w", "x"]).filter(~own | (F.col("a") > F.col("first.b"))).select(*DOC, "a", "b")
+    order = Window.partitionBy(*DOC).orderBy("a", "b")
+    upto = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("new", F.coalesce((F.col("a") > upto).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = apart.groupBy(*DOC, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
 
 def line_dedup(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
     """docs with text without its repeated runs, and n_lines and n_removed.
 
-    Later copies of a run of lines of `window` words or more go, those of
-    `gram` words or more may; blank lines within a removed run go with it. The
-    first copy, by doc_id (null last), text hash and line, stays, also within
-    one text. Rows that agree in doc_id and text count once and are cut alike.
-    A null text stays null. A text may become empty; its row stays. Columns
-    named n_lines or n_removed are replaced.
+    Every copy of a run of lines of `window` words or more goes, unless it is
+    the first one or overlaps that; shorter runs stay. Blank lines within a
+    removed run go with it. The first copy, by doc_id (null last), text hash
+    and line, stays, also within one text. Rows that agree in doc_id and text
+    count once and are cut alike. A null text stays null. A text may become
+    empty; its row stays. Columns named n_lines or n_removed are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = cut(docs, gram, window)
@@ -100,7 +97,9 @@ def cut(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """_row, new (the text after dedup), n_lines and n_removed."""
     keyed = row_key(docs).select("_row", *DOC).join(repeats(docs, gram, window).hint("shuffle_hash"), DOC, "left")
     raw = keyed.withColumn("text", F.col("_row")["text"]).withColumn("raw", F.split("text", "\n"))
-    kept = F.filter("raw", lambda _, i: ~F.exists("cuts", lambda c: (c["a"] <= i) & (i <= c["b"])))
+    # what is before the first run, and from each run to the next
+    begins = F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), "cuts")
+    kept = F.flatten(F.transform(begins, lambda c, i: F.slice("raw", c["b"] + 2, F.coalesce(F.get("cuts", i)["a"], F.size("raw")) - c["b"] - 1)))
     rows = raw.withColumn("kept", F.when(F.col("cuts").isNotNull(), kept))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("raw"), F.lit(0))).cast("long")
     return rows.select(
@@ -123,27 +122,17 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-#: doc_id orders texts here; no two rows of the table share one.
+#: Windows as texts, all compared with all; doc_id orders texts here, for no two rows of the table share one.
 ORACLE = r"""
 WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS raw FROM documents),
 k AS (SELECT doc_id, raw, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM r),
-a AS (SELECT doc_id, raw, n, ('0x' || substr(md5(l), 1, 15))::BIGINT AS h, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS i,
-      (sum(n) OVER (PARTITION BY doc_id ORDER BY raw) - n)::BIGINT AS s FROM k WHERE n > 0),
-g AS (SELECT *, list(h) OVER gr AS hs, max(s + n) OVER gr AS ge, max(s + n) OVER wi AS we FROM a
-      WINDOW gr AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING),
-             wi AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-m AS (SELECT doc_id, i, s, ge, ('0x' || substr(md5(array_to_string(hs, ',')), 1, 15))::BIGINT AS f FROM g WHERE ge - s >= 25),
-z AS (SELECT DISTINCT w.doc_id, arg_min(m.i, (m.f, -m.i)) AS i, min(m.f) AS f FROM g w
-      JOIN m ON m.doc_id = w.doc_id AND m.s BETWEEN w.s AND w.s + 49 AND m.ge <= w.we WHERE w.we - w.s >= 50 GROUP BY w.doc_id, w.i),
-c AS (SELECT f, min((doc_id, i)) AS first FROM z GROUP BY f HAVING count(*) > 1),
-p AS (SELECT z.doc_id, z.i AS p, first[1] AS other, z.i - first[2] AS off FROM z JOIN c ON z.f = c.f WHERE (z.doc_id, z.i) <> first),
-q AS (SELECT DISTINCT doc_id, other, off FROM p),
-o AS (SELECT q.*, b.i AS y FROM q JOIN a b ON b.doc_id = q.doc_id LEFT JOIN a t ON t.doc_id = q.other AND t.i = b.i - q.off WHERE t.h IS DISTINCT FROM b.h),
-e AS (SELECT p.doc_id, p.p, p.other, p.off, coalesce(max(y) FILTER (y < p.p), -1) + 1 AS x, min(y) FILTER (y > p.p) AS u
-      FROM p LEFT JOIN o ON o.doc_id = p.doc_id AND o.other = p.other AND o.off = p.off GROUP BY ALL),
-d AS (SELECT DISTINCT e.doc_id, f.raw AS ra, l.raw AS rb FROM e JOIN (SELECT doc_id, max(i) AS top FROM a GROUP BY doc_id) t ON t.doc_id = e.doc_id
-      JOIN a f ON f.doc_id = e.doc_id AND f.i = e.x JOIN a l ON l.doc_id = e.doc_id AND l.i = coalesce(e.u - 1, t.top)),
-v AS (SELECT r.doc_id, r.raw, r.l, EXISTS (SELECT 1 FROM d WHERE d.doc_id = r.doc_id AND r.raw BETWEEN ra AND rb) AS gone FROM r)
+a AS (SELECT doc_id, raw, l, (sum(n) OVER (PARTITION BY doc_id ORDER BY raw))::BIGINT AS e, (sum(n) OVER (PARTITION BY doc_id ORDER BY raw) - n)::BIGINT AS s FROM k WHERE n > 0),
+f AS (SELECT doc_id, raw AS x, max(raw) OVER w AS y, max(e) OVER w - s AS words, list(l) OVER w AS t FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+g AS (SELECT doc_id, min(raw) OVER w AS x, raw AS y, e - min(s) OVER w AS words, list(l) OVER w AS t FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+w AS (SELECT doc_id, x, y, array_to_string(t, chr(10)) AS t FROM f WHERE words >= 50 UNION SELECT doc_id, x, y, array_to_string(t, chr(10)) FROM g WHERE words >= 50),
+c AS (SELECT t, min((doc_id, x, y)) AS first FROM w GROUP BY t HAVING count(*) > 1),
+d AS (SELECT DISTINCT doc_id, x, y FROM w JOIN c USING (t) WHERE doc_id <> first[1] OR x > first[3]),
+v AS (SELECT r.doc_id, r.raw, r.l, EXISTS (SELECT 1 FROM d WHERE d.doc_id = r.doc_id AND r.raw BETWEEN x AND y) AS gone FROM r)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(l, chr(10) ORDER BY raw) FILTER (NOT gone) AS t FROM v GROUP BY doc_id) USING (doc_id)
 """
