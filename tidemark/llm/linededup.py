@@ -69,6 +69,7 @@ def repeats(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS)
     twice = found.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi")).select("f")
     known = stored(found.join(twice, "f", "left_semi").drop("f", "at"), "line-repeats")
     first = known.groupBy("w", "x").agg(F.min(F.struct(*DOC, "a", "b")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    first = stored(first, "line-firsts")  # so that the rows of a very common window can be dealt to several tasks
     own = (F.col("_did") == F.col("first._did")) & (F.col("_th") == F.col("first._th"))
     later = known.join(first, ["w", "x"]).filter(~own | (F.col("a") > F.col("first.b"))).select(*DOC, "a", "b")
     order = Window.partitionBy(*DOC).orderBy("a", "b")
