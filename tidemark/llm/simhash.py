@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, ship, stored, table, unpacked_rows
+from tidemark.llm.common import ship, stored, table
 from tidemark.llm.components import connected_components
 
 ship(__name__)
@@ -28,20 +28,20 @@ def spread() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def fingerprint(text: str, digest, lanes: np.ndarray, shingle: int) -> bytes:
-    """The SimHash of a text's word shingles, repeats included, as wide as digest's hashes."""
+def shingles(text: str, shingle: int) -> list[bytes]:
+    """A text's runs of `shingle` words, A-Z lower-cased, repeats included; a shorter text's words; none of no words."""
     words = text.encode().translate(LOWER).split()
-    if not words:
-        return bytes(len(digest(b"", 42)))
-    joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    n, width = len(hashes), len(hashes[0])
-    raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(n, width)
+        return [b" ".join(words)] if words else []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [joined[s:e] for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def majority(raw: np.ndarray, lanes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, which are the rows of raw."""
+    n, width = raw.shape
     counts = np.zeros(8 * width, np.int64)
     for at in range(0, n, 255 * 256):  # a byte lane counts to 255
         part = lanes[raw[at : at + 255 * 256]]
@@ -51,24 +51,24 @@ def fingerprint(text: str, digest, lanes: np.ndarray, shingle: int) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """keep and fp, the fingerprint as a signed long; that of a text without words is 0.
 
-    The shingles' hashes are XXH64 with seed 42; with wide they are 128 bits of
-    XXH3, and fq is the second half of the fingerprint.
+    The shingles' hashes are XXH64 with seed 42.
     """
-    halves = ["fp", "fq"] if wide else ["fp"]
 
     def run(batches):
         import xxhash
 
-        lanes, digest = spread(), xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
+        lanes = spread()
         for batch in batches:
-            made = b"".join(fingerprint(t.as_py() or "", digest, lanes, shingle) for t in batch.column(batch.num_columns - 1))
-            found = np.frombuffer(made, ">i8").astype(np.int64).reshape(-1, len(halves))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(len(halves)))], names=[*keep, *halves])
+            made = []
+            for t in batch.column(batch.num_columns - 1):
+                found = shingles(t.as_py() or "", shingle)
+                made.append(majority(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in found]), np.uint8).reshape(-1, 8), lanes) if found else bytes(8))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.frombuffer(b"".join(made), ">i8").astype(np.int64))], names=[*keep, "fp"])
 
-    kinds = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{h} long" for h in halves)])
+    kinds = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "fp long"])
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, kinds)
 
 
@@ -85,7 +85,7 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def trie_links(codes: np.ndarray, top: int, budget: int, more: np.ndarray | None = None, total: int = 0) -> np.ndarray:
+def trie_links(codes: np.ndarray, top: int, budget: int) -> np.ndarray:
     """For each of the sorted codes the least one connected with it, by index.
 
     The sorted array is a binary trie: a node at depth d is a range of codes
@@ -93,9 +93,7 @@ def trie_links(codes: np.ndarray, top: int, budget: int, more: np.ndarray | None
     depth `top` with itself; a pair whose two sides part at a bit has spent one
     of the budget, and is dropped beyond it. Pairs whose codes are all in one
     component already have nothing to add and are dropped as well, so that a
-    dense group costs no square. Pairs wait on a stack in bounded chunks. With
-    `more`, second halves of the codes, a link may differ in `total` bits of
-    both halves; codes may then repeat, and ranges of equal codes are halved.
+    dense group costs no square. Pairs wait on a stack in bounded chunks.
     """
     n = len(codes)
     labels = np.arange(n)
@@ -122,21 +120,15 @@ def trie_links(codes: np.ndarray, top: int, budget: int, more: np.ndarray | None
             k = np.arange(len(first)) - first
             wide = np.repeat(wide, sizes)
             x, y = np.repeat(a[small], sizes) + k // wide, np.repeat(c[small], sizes) + k % wide
-            bits = np.bitwise_count(codes[x] ^ codes[y])
-            near = (bits <= budget) & (x != y)
-            if more is not None:
-                near &= bits + np.bitwise_count(more[x] ^ more[y]) <= total
+            near = (np.bitwise_count(codes[x] ^ codes[y]) <= budget) & (x != y)
             labels = merged(labels, x[near], y[near])
             a, b, c, d, err = (x[~small] for x in (a, b, c, d, err))
         if not len(a):
             continue
-        shift, spent = np.uint64(max(0, 63 - depth)), np.int8(depth < 64)
-        if spent:
-            cut = lambda lo, hi: np.clip(np.searchsorted(codes, ((codes[lo] >> shift) | np.uint64(1)) << shift), lo, hi)
-        else:
-            cut = lambda lo, hi: (lo + hi) // 2
+        shift, one = np.uint64(max(0, 63 - depth)), np.int8(1)
+        cut = lambda lo, hi: np.clip(np.searchsorted(codes, ((codes[lo] >> shift) | np.uint64(1)) << shift), lo, hi)
         p, q, own = cut(a, b), cut(c, d), a == c
-        down = [(a, p, c, q, err, None), (p, b, q, d, err, None), (a, p, q, d, err + spent, None), (p, b, c, q, err + spent, ~own)]
+        down = [(a, p, c, q, err, None), (p, b, q, d, err, None), (a, p, q, d, err + one, None), (p, b, c, q, err + one, ~own)]
         kids = [[], [], [], [], []]
         for lo1, hi1, lo2, hi2, e, only in down:
             ok = (lo1 < hi1) & (lo2 < hi2) & (e <= budget) & ((lo1 != lo2) | (hi1 - lo1 > 1))
@@ -150,19 +142,17 @@ def trie_links(codes: np.ndarray, top: int, budget: int, more: np.ndarray | None
     return labels
 
 
-def links(classes: DataFrame, budget: int = BUDGET, total: int | None = None) -> DataFrame:
-    """u, v: edges that connect fingerprints as all links do, between their ids.
-
-    classes: id, fp, and with `total` fq. Two fingerprints link if they differ
-    in `budget` bits at most; with total, if one of their halves does, and both
-    together in `total`.
+def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """u, v: edges that connect fingerprints as all links do; classes: fp, distinct.
 
-    Two halves within the budget agree in all but `budget` of any blocks that
-    the bits are cut into, so both lie below one node of the trie whose first
-    levels are the bits of some blocks. There is one such trie for each choice
-    of blocks; its nodes at that level are dealt out to tasks, and a task joins
-    each of its nodes with itself. With more fingerprints more blocks are cut,
-    which keeps nodes small. A task returns no more edges than fingerprints.
+    Two fingerprints within the budget agree in all but `budget` of any blocks
+    that the bits are cut into, so both lie below one node of the trie whose
+    first levels are the bits of some blocks. There is one such trie for each
+    choice of blocks; its nodes at that level are dealt out to tasks, and a
+    task joins each of its nodes with itself. With more fingerprints more
+    blocks are cut, which keeps nodes small: with a budget of 3, 4 tries up to
+    16 million, and 10 up to 10 billion. A task returns no more edges than
+    fingerprints.
     """
     count = classes.count()
     blocks = budget + 1
@@ -176,17 +166,12 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int | None = None) ->
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     parts = max(1, -(-count // TASK_ROWS))  # of each choice of blocks
     array = F.array(*(F.lit(signed(m)).cast("long") for _, m in masks))
-    halves = ["fp"] if total is None else ["fp", "fq"]
-    tries = []
-    for i, half in enumerate(halves):
-        other = F.col(halves[1 - i]) if total is not None else F.lit(None).cast("long")
-        tries.append(classes.select("id", F.col(half).alias("code"), other.alias("more"), F.lit(i).alias("half"), F.posexplode(array).alias("t", "mask")))
-    keyed = tries[0] if len(tries) == 1 else tries[0].unionByName(tries[1])
-    keyed = keyed.select("id", "code", "more", "half", "t", F.pmod(F.xxhash64(F.col("code").bitwiseAND(F.col("mask")), "t"), F.lit(parts)).alias("part"))
+    keyed = classes.select("fp", F.posexplode(array).alias("t", "mask"))
+    keyed = keyed.select("fp", "t", F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "t"), F.lit(parts)).alias("part"))
 
     def join(found: pa.Table) -> pa.Table:
         bits = masks[found.column("t")[0].as_py()][0]
-        given = found.column("code").to_numpy().view(np.uint64)
+        given = found.column("fp").to_numpy().view(np.uint64)
         order = [*bits, *(i for i in range(64) if i not in bits)]
         codes = np.zeros(len(given), np.uint64)
         at = 0
@@ -198,44 +183,31 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int | None = None) ->
             codes |= piece << np.uint64(64 - at - run)
             at += run
         by = np.argsort(codes, kind="stable")
-        more = found.column("more").to_numpy().view(np.uint64)[by] if total is not None else None
-        labels = trie_links(codes[by], len(bits), budget, more, total or 0)
-        ids = found.column("id").to_numpy()[by]
+        labels = trie_links(codes[by], len(bits), budget)
+        ids = given[by].view(np.int64)
         moved = labels != np.arange(len(labels))
         return pa.table({"u": ids[moved], "v": ids[labels[moved]]})
 
-    return keyed.groupBy("half", "t", "part").applyInArrow(join, "u long, v long")
+    return keyed.groupBy("t", "part").applyInArrow(join, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), first: Column | None = None, text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, total: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), first: Column | None = None, text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """keep, fp, component and first: the row's component and its least `first`.
 
     Every row is in one component, alone if nothing links to it; component is
-    the id of one of its fingerprints. A null text is an empty one; empty texts
-    share a fingerprint of zeros and link like any other. Equal fingerprints
-    are one class and never paired: a component's least `first` (by default
-    the first column of keep) is found from the classes' least ones.
+    one of its fingerprints. A null text is an empty one; empty texts share a
+    fingerprint of zeros and link like any other. Equal fingerprints are one
+    class and never paired: a component's least `first` (by default the first
+    column of keep) is found from the classes' least ones.
     """
-    halves = ["fp"] if total is None else ["fp", "fq"]
     first = F.col(keep[0]) if first is None else first
-    rows = stored(fingerprints(docs, keep, text, shingle, total is not None), "simhash-rows")
-    ident = F.col("fp") if total is None else F.xxhash64("fp", "fq")
-    classes = stored(rows.groupBy(*halves).agg(F.min(first).alias("least")).withColumn("id", ident), "simhash-classes")
-    roots = stored(connected_components(links(classes, budget, total)), "simhash-roots").withColumnRenamed("v", "id")
-    linked = stored(classes.join(roots, "id").groupBy("root").agg(F.min("least").alias("first")), "simhash-groups")
+    rows = stored(fingerprints(docs, keep, text, shingle), "simhash-rows")
+    classes = stored(rows.groupBy("fp").agg(F.min(first).alias("least")), "simhash-classes")
+    roots = stored(connected_components(links(classes, budget)), "simhash-roots").withColumnRenamed("v", "fp")
+    linked = stored(classes.join(roots, "fp").groupBy("root").agg(F.min("least").alias("first")), "simhash-groups")
     named = roots.join(linked, "root")
-    named = stored(classes.join(named, "id", "left").select(*halves, F.coalesce("root", "id").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("first")).alias("first")), "simhash-names")
-    return rows.join(named, halves)
-
-
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, total: int | None = None) -> DataFrame:
-    """docs, all columns: of each component the row with the least (doc_id, text hash)."""
-    keyed = row_key(docs)
-    own = F.struct("_did", "_th")
-    rows = near_duplicates(keyed, ("_did", "_th"), own, "text", shingle, budget, total)
-    first = stored(rows.filter(own == F.col("first")).groupBy("_did", "_th").count(), "simhash-kept")
-    kept = keyed.join(first.drop("count"), ["_did", "_th"], "left_semi")
-    return unpacked_rows(kept if first.filter("count > 1").isEmpty() else kept.dropDuplicates(["_did", "_th"]), docs.columns)
+    named = stored(classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("first")).alias("first")), "simhash-names")
+    return rows.join(named, "fp")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
