@@ -23,7 +23,9 @@ ship(__name__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files make fewer tasks than there are cores, its rows are spread over these."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def words(text: Column | str) -> Column:
@@ -40,10 +42,12 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    It is spark.checkpoint.dir. Where that is unset (tests on one machine), a
-    temporary folder is made once per session.
+    It is spark.checkpoint.dir. Where that is unset and all runs on one machine
+    (tests), a temporary folder is made once per session; a cluster must set it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)

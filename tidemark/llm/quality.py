@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import GAP, row_key, stored, table, unpacked_rows, words
 
-#: A group of fewer documents is judged with its language, then with all.
-LEAST_GROUP = 200
 #: The share of a group's documents whose covariance has the least determinant.
 SHARE = 0.75
-#: Concentration steps; the objective rarely moves after four.
-STEPS = 6
+#: Concentration steps at most, and the change of the logarithm of a determinant that ends them.
+STEPS, SETTLED = 20, 1e-3
+#: Documents of its parent's fit that count in a group's fit besides its own.
+PRIOR = 200
 #: Squared distances are told apart in steps of a 16th of an octave.
 GRID = 16
 #: Medians, from which the steps start, are found on a grid of this many cells a unit.
 UNIT = 64
 #: Standard deviations under which a statistic's spread doesn't count (ridge of the covariance).
 RIDGE = (0.08, 0.4, 0.6, 0.6, 1.0)
+#: Standard deviations that all documents are taken to have before any is seen; they count PRIOR times.
+SPREAD = (0.25, 1.5, 1.5, 1.5, 1.5)
 #: Chance that a clean document's distance is over the cut, were the statistics normal.
 TAIL = 1e-12
 DIM = len(RIDGE)
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
+#: Columns: of a group, and of its fit.
+G, M = ["lv", "l", "k"], [f"m{i}" for i in range(DIM)]
+S, W = [f"s{i}{j}" for i, j in PAIRS], [f"w{i}{j}" for i, j in PAIRS]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -93,19 +99,20 @@ def vector() -> list[Column]:
 
 
 def medians(rows: DataFrame, values: list[Column], unit: int = UNIT) -> DataFrame:
-    """Per group g the medians m0.. of values on a grid of 1/unit, from counts."""
-    cells = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.round(v * unit).cast("long").alias("q")) for i, v in enumerate(values)))).alias("c"))
-    counts = cells.groupBy("g", "c.f", "c.q").count()
-    upto = Window.partitionBy("g", "f")
+    """Per group the medians m0.. of values on a grid of 1/unit, from counts."""
+    cells = rows.select(*G, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.round(v * unit).cast("long").alias("q")) for i, v in enumerate(values)))).alias("c"))
+    counts = stored(cells.groupBy(*G, "c.f", "c.q").count(), "quality-cells")
+    upto = Window.partitionBy(*G, "f")
     half = counts.withColumns({"before": F.sum("count").over(upto.orderBy("q")), "all": F.sum("count").over(upto)}).filter(2 * F.col("before") >= F.col("all"))
-    return half.groupBy("g").agg(*(F.min(F.when(F.col("f") == i, F.col("q") / unit)).alias(f"m{i}") for i in range(len(values))))
+    return half.groupBy(*G).agg(*(F.min(F.when(F.col("f") == i, F.col("q") / unit)).alias(f"m{i}") for i in range(len(values))), F.max("all").alias("n"))
 
 
 def factor(moments: DataFrame) -> DataFrame:
-    """g, means m0.. and w00.., the inverse of the Cholesky factor of s00.. plus the ridge.
+    """moments and w00.., the inverse of the Cholesky factor of s00.. plus the ridge, and the logdet of these.
 
     It is written out, so that the chain of steps isn't part of later plans.
     """
+    given = moments.columns
     for i, j in PAIRS:
         inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         rest = F.col(f"s{i}{j}") + (RIDGE[i] ** 2 if i == j else 0.0) - inner
@@ -114,79 +121,105 @@ def factor(moments: DataFrame) -> DataFrame:
         for i in range(j, DIM):
             inner = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             moments = moments.withColumn(f"w{i}{j}", ((1.0 if i == j else 0.0) - inner) / F.col(f"l{i}{i}"))
-    return stored(moments.select("g", *(f"m{i}" for i in range(DIM)), *(f"w{i}{j}" for i, j in PAIRS)), "quality-fit")
+    logdet = 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIM)), F.log("l00"))
+    return stored(moments.select(*given, *(f"w{i}{j}" for i, j in PAIRS), logdet.alias("logdet")), "quality-fit")
 
 
-def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """rows of fitted groups with d2, the squared Mahalanobis distance."""
+def grouped(rows: DataFrame, *lvs: int) -> DataFrame:
+    """Each row in its groups: lv, l, k are 1, language, source; 2, language; 3. Nulls are a value of their own."""
+    lang, source, none = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")), F.lit("")
+    keys = {1: (lang, source), 2: (lang, none), 3: (none, none)}
+    parts = [rows.select(F.lit(lv).alias("lv"), keys[lv][0].alias("l"), keys[lv][1].alias("k"), *(c for c in rows.columns if c not in ("lang", "source"))) for lv in lvs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def distances(rows: DataFrame, fitted: DataFrame, *lvs: int) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance, for each fit of their groups; the fits' s and logdet stay.
+
+    Every level is joined by itself: only sources can be so many that their fits aren't sent to all tasks.
+    """
     centred = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(X)]
     parts = [sum((F.col(f"w{i}{j}") * centred[j] for j in range(1, i + 1)), F.col(f"w{i}0") * centred[0]) for i in range(DIM)]
-    return rows.join(fitted, "g").withColumn("d2", sum((p * p for p in parts[1:]), parts[0] * parts[0])).drop(*fitted.columns[1:])
+    fits = fitted.select(*G, "s", "logdet", *M, *W)
+    of = {lv: fits.filter(f"lv = {lv}") for lv in lvs} | {3: F.broadcast(fits.filter("lv = 3"))}  # one group
+    joined = [grouped(rows, lv).join(of[lv], G) for lv in lvs]
+    return reduce(DataFrame.unionByName, joined).withColumn("d2", sum((p * p for p in parts[1:]), parts[0] * parts[0])).drop(*M, *W)
 
 
 def moments(sums: DataFrame, scale: float) -> DataFrame:
-    """Means and scaled covariances from n, a0.. and b00.. per group."""
+    """Means and scaled covariances from n, a0.. and b00.. per group and start."""
     n = F.col("n")
     mean = [F.col(f"a{i}") / n for i in range(DIM)]
-    return sums.select("g", *(mean[i].alias(f"m{i}") for i in range(DIM)), *(((F.col(f"b{i}{j}") / n - mean[i] * mean[j]) * scale).alias(f"s{i}{j}") for i, j in PAIRS))
+    return sums.select(*G, "s", "n", "old", *(mean[i].alias(f"m{i}") for i in range(DIM)), *(((F.col(f"b{i}{j}") / n - mean[i] * mean[j]) * scale).alias(f"s{i}{j}") for i, j in PAIRS))
 
 
 def gathered() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"a{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"b{i}{j}") for i, j in PAIRS)]
+    return [F.max("logdet").alias("old"), F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"a{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"b{i}{j}") for i, j in PAIRS)]
 
 
 def added() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("n", *(f"a{i}" for i in range(DIM)), *(f"b{i}{j}" for i, j in PAIRS))]
-
+    return [F.max("old").alias("old"), *(F.sum(c).alias(c) for c in ("n", *(f"a{i}" for i in range(DIM)), *(f"b{i}{j}" for i, j in PAIRS)))]
 
-def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and scatter of each group g.
 
-    Start: medians and scaled median deviations. Each concentration step takes
-    the documents with the least distances, until they are `share` of the
-    group, and fits the means and covariance of these; distances are compared
-    on a grid, so that a step needs sums by group and grid cell only, which
-    are combined before the shuffle and a few hundred a group after. The last
-    fit is reweighted: it takes all documents within the 97.5 % point.
-    Scatter is made consistent with the normal distribution and gets RIDGE.
-    """
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first fits of each group: medians with scaled median deviations, medians with the ridge, means and covariance of all."""
+    rows = grouped(rows, 1, 2, 3)
     mid = stored(medians(rows, [F.col(x) for x in X]), "quality-medians")
-    spread = medians(rows.join(mid, "g"), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)])
-    start = mid.join(spread.select("g", *(F.col(f"m{i}").alias(f"q{i}") for i in range(DIM))), "g")
-    fitted = factor(start.select("g", *(f"m{i}" for i in range(DIM)), *((F.pow(1.4826 * F.col(f"q{i}"), 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS)))
+    apart = medians(rows.join(mid.drop("n"), G), [F.abs(F.col(x) - F.col(m)) for x, m in zip(X, M, strict=True)])
+    apart = apart.select(*G, *(F.col(m).alias(f"q{i}") for i, m in enumerate(M)))
+    diagonal = lambda v: [(v(i) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    first = mid.join(apart, G).select(*G, F.lit(0).alias("s"), "n", *M, *diagonal(lambda i: F.pow(1.4826 * F.col(f"q{i}"), 2)))
+    second = mid.select(*G, F.lit(1).alias("s"), "n", *M, *diagonal(lambda i: F.lit(0.0)))
+    whole = rows.withColumns({"s": F.lit(2), "logdet": F.lit(0.0)}).groupBy(*G, "s").agg(*gathered())
+    return factor(first.unionByName(second).unionByName(moments(whole, 1.0).drop("old")))
+
+
+def mcd(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """Minimum-covariance-determinant location and scatter of each group, of three starts.
+
+    Each concentration step takes the documents with the least distances, until
+    they are `share` of the group, and fits the means and covariance of these,
+    until no determinant changes. Distances are compared on a grid, so that a
+    step needs sums by group and grid cell only, which are combined before the
+    shuffle and a few hundred a group after. The start with the least
+    determinant wins. Scatter is made consistent with the normal distribution.
+    """
+    fitted = starts(rows)
     consistent = share / chi2_cdf(chi2_cut(1 - share, DIM), DIM + 2)
-    order = Window.partitionBy("g")
-    for _ in range(steps):
+    order = Window.partitionBy(*G, "s")
+    for _ in range(STEPS):
         cell = F.floor(F.log2(F.col("d2") + 1e-6) * GRID)
-        sums = distances(rows, fitted).groupBy("g", cell.alias("cell")).agg(*gathered())
+        sums = stored(distances(rows, fitted, 1, 2, 3).groupBy(*G, "s", cell.alias("cell")).agg(*gathered()), "quality-sums")
         upto = F.sum("n").over(order.orderBy("cell")) - F.col("n")
         inner = sums.withColumns({"before": upto, "all": F.sum("n").over(order)}).filter(F.col("before") < share * F.col("all"))
-        fitted = factor(moments(inner.groupBy("g").agg(*added()), consistent))
-    inside = chi2_cut(0.025, DIM)
-    last = distances(rows, fitted).filter(F.col("d2") <= inside).groupBy("g").agg(*gathered())
-    return factor(moments(last, 0.975 / chi2_cdf(inside, DIM + 2)))
+        fitted = factor(moments(inner.groupBy(*G, "s").agg(*added()), consistent))
+        if fitted.filter(F.abs(F.col("logdet") - F.col("old")) > SETTLED).isEmpty():
+            break
+    best = fitted.groupBy(*G).agg(F.min(F.struct("logdet", "s")).alias("b")).select(*G, "b.s")
+    return fitted.join(best, [*G, "s"]).select(*G, "n", *M, *S)
 
 
-def grouped(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
-    """rows with g: language and source, or language, or all, whichever is large enough.
+def shrunk(fits: DataFrame) -> DataFrame:
+    """The fits of groups as if PRIOR documents drawn from their parents' were in them.
 
-    fits lists the groups whose fit a row is part of: g itself, and its
-    language and all where some row is judged with these, so that such a fit
-    is over every row of the language or the table. All are fitted from
-    `least` rows on.
+    The parent of a source is its language, that of a language all documents;
+    to these, documents with the same means and the spread SPREAD are added.
     """
-    key = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    tongue = F.coalesce("lang", F.lit("\x00"))
-    rows = rows.withColumns({"_k": key, "_l": tongue})
-    by_key = rows.groupBy("_k", "_l").count()
-    by_key = by_key.withColumn("of", F.sum("count").over(Window.partitionBy("_l")))
-    g = F.when(F.col("count") >= least, F.concat(F.lit("1"), "_k")).when(F.col("of") >= least, F.concat(F.lit("2"), "_l")).otherwise(F.lit("3"))
-    named = stored(by_key.select("_k", "_l", "count", g.alias("g")), "quality-groups")
-    tongues = named.filter("g LIKE '2%'").select("_l", F.col("g").alias("_g2")).distinct()
-    total = named.agg((F.sum("count") >= least).alias("enough"), F.max(F.col("g") == "3").alias("needed"))
-    named = named.join(tongues, "_l", "left").crossJoin(F.broadcast(total))
-    fits = F.array_compact(F.array(F.when(F.col("g").startswith("1"), F.col("g")), F.col("_g2"), F.when(F.col("enough") & F.col("needed"), F.lit("3"))))
-    return rows.join(named.select("_k", "g", fits.alias("fits")), "_k").drop("_k", "_l")
+    fits = stored(fits, "quality-moments")
+    w = F.col("n") / (F.col("n") + PRIOR)
+
+    def drawn(children: DataFrame, parents: DataFrame) -> DataFrame:
+        apart = [F.col(m) - F.col(f"p{m}") for m in M]
+        mean = [(F.col(f"p{m}") + w * d).alias(m) for m, d in zip(M, apart, strict=True)]
+        cov = [(w * F.col(f"s{i}{j}") + (1 - w) * F.col(f"ps{i}{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"s{i}{j}") for i, j in PAIRS]
+        both = children.join(parents, "l") if "l" in parents.columns else children.crossJoin(F.broadcast(parents))  # one row
+        return both.select(*G, *mean, *cov)
+
+    as_parent = lambda df, *keys: df.select(*keys, *(F.col(c).alias(f"p{c}") for c in (*M, *S)))
+    every = fits.filter("lv = 3").select(*G, *M, *((w * F.col(f"s{i}{j}") + ((1 - w) * SPREAD[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
+    tongues = drawn(fits.filter("lv = 2"), as_parent(every))
+    sources = drawn(fits.filter("lv = 1"), as_parent(tongues, "l"))
+    return factor(every.unionByName(tongues).unionByName(sources).withColumn("s", F.lit(0)))
 
 
 def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), tail: float = TAIL) -> DataFrame:
@@ -196,29 +229,38 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     of three. The others are vectors (word length, symbols, repeated lines,
     repeated words, length; on log scales), grouped by language and source; a
     vector is rejected if its robust distance is over the `tail` point of the
-    chi-squared distribution. A null language or source is a value of its own.
-    Groups under LEAST_GROUP are judged by the fit of all documents of their
-    language, or of all documents; fewer than LEAST_GROUP in all: nothing but
-    base_failed counts.
+    chi-squared distribution. Every group has a fit of its own (mcd), drawn
+    towards that of its language, and this towards that of all documents, the
+    more the fewer documents it has (shrunk); after that, documents within the
+    97.5 % point are fitted and drawn once more. There is no least size: a
+    source with one document is judged almost by its language, a table with
+    one almost by SPREAD. A null language or source is a value of its own.
     Repeated rows are judged alike. `keep` names the columns that identify a
     row; lang and source must be among them.
     """
     counted = stored(statistics(docs, text, keep), "quality-counts")
     ok = counted.filter(~base_failed()).select("*", *(v.alias(x) for v, x in zip(vector(), X, strict=True)))
-    ok = stored(grouped(ok), "quality-vectors")
-    fitted = mcd(ok.select(F.explode("fits").alias("g"), *X))
+    ok = stored(ok, "quality-vectors")
+    rows = ok.select("lang", "source", *X)
+    inside = chi2_cut(0.025, DIM)
+    first = shrunk(mcd(rows))
+    near = distances(rows, first, 1, 2, 3).filter(F.col("d2") <= inside).groupBy(*G, "s").agg(*gathered())
+    again = moments(near, 0.975 / chi2_cdf(inside, DIM + 2)).select(*G, "n", *(F.col(c).alias(f"r{c}") for c in (*M, *S)))
+    # a group without a document within the point is its parent's
+    again = first.join(again, G, "left").select(*G, F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(f"r{c}", c).alias(c) for c in (*M, *S)))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = distances(ok, fitted).select(*columns, F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
-    small = ok.join(fitted.select("g"), "g", "left_anti").select(*columns, F.lit(False).alias("base_failed"), F.lit(True).alias("kept"))
+    own = distances(ok.select(F.struct(*columns).alias("_c"), "lang", "source", *X), shrunk(again), 1)
+    judged = own.select("_c.*", F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
     failed = counted.filter(base_failed()).select(*columns, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"))
-    return judged.unionByName(small).unionByName(failed)
+    return judged.unionByName(failed)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     keyed = row_key(docs)
-    good = verdicts(keyed, keep=("_did", "_th", "lang", "source")).filter("kept").select("_did", "_th").distinct()
-    return unpacked_rows(keyed.join(good, ["_did", "_th"], "left_semi"), docs.columns)
+    good = verdicts(keyed, keep=("_did", "_th", "lang", "source")).filter("kept").select(F.col("_did").alias("d"), F.col("_th").alias("t"), F.col("lang").alias("l"), F.col("source").alias("k"))
+    same = (keyed["_did"] == good["d"]) & (keyed["_th"] == good["t"]) & keyed["lang"].eqNullSafe(good["l"]) & keyed["source"].eqNullSafe(good["k"])
+    return unpacked_rows(keyed.join(good, same, "left_semi"), docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
