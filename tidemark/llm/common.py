@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of these six characters part words; every other character belongs to one.
@@ -88,6 +88,20 @@ def removed(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with _ord: rows that agree in the keys, which aren't null, are counted from 0.
+
+    Rows are counted within partitions and partitions added up, so that rows
+    that agree never meet, however many they are. Which of them has which
+    number is not fixed, but the numbers are the same in every run.
+    """
+    rows = stored(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    held = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_held"))
+    before = held.select(*keys, "_part", (F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_held")).alias("_before"))
+    within = rows.withColumn("_ord", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at")) - 1)
+    return within.join(before, [*keys, "_part"]).withColumn("_ord", F.col("_before") + F.col("_ord")).drop("_part", "_at", "_before")
+
+
 def filesystem(uri: str):
     """The Arrow file system of a URI and the path on it."""
     from pyarrow import fs
