@@ -231,10 +231,20 @@ def test_sharding_one_key(spark):
     assert got.count() == 3000 and got.groupBy("shard").agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0] <= 5000
 
 
-def test_sharding_written(docs, rows, tmp_path):
-    sharding.write_shards(docs, f"file://{tmp_path}/s", 5000)
-    back = docs.sparkSession.read.parquet(f"file://{tmp_path}/s")
-    assert back.count() == len(rows) and set(docs.columns) <= set(back.columns)
+    again = sharding.assign(df.repartition(7), 5000)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
+def test_sharding_written(spark, docs, rows, tmp_path):
+    """Each row lies in its own shard, those of one key and equal ones too, and none is over the limit."""
+    many = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "y" * 200).otherwise(F.concat(F.lit("x" * 100), F.col("id").cast("string"))).alias("text"))
+    df = docs.withColumn("_shard", F.lit("clash")).unionByName(many, allowMissingColumns=True)
+    found = sharding.write_shards(df, f"file://{tmp_path}/s", 5000)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert back.columns == [*df.columns, "__shard"] and back.count() == len(rows) + 300
+    sizes = {r["__shard"]: (r["b"], r["n"]) for r in back.groupBy("__shard").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {r["shard"]: (r["shard_bytes"], r["shard_rows"]) for r in found.select("shard", "shard_bytes", "shard_rows").distinct().collect()}
+    assert all(b <= 5000 or n == 1 for b, n in sizes.values())
 
 
 # ---- mixing ----
@@ -242,7 +252,7 @@ def test_sharding_written(docs, rows, tmp_path):
 
 def test_mixing(spark, docs, rows):
     many = [(100 + i, prose(i, 20 + i % 50), "en", f"s{i % 5}", 0) for i in range(400)]
-    df = docs.select(*COLUMNS.replace(" long", "").replace(" string", "").split(", ")).unionByName(spark.createDataFrame(many, COLUMNS))
+    df = docs.unionByName(spark.createDataFrame(many, COLUMNS), allowMissingColumns=True)
     got = mixing.mix(df).toPandas()
     again = mixing.mix(df.repartition(3)).toPandas()
     assert sorted(map(str, got[["doc_id", "size", "taken"]].values.tolist())) == sorted(map(str, again[["doc_id", "size", "taken"]].values.tolist()))
@@ -263,11 +273,27 @@ def test_mixing(spark, docs, rows):
         assert mine.target.iloc[0] == pytest.approx(target[source]) and mine.source_size.iloc[0] == size[source]
         assert abs(mine.taken.sum() - target[source]) <= max(1, mine["size"].max() / 2)
         assert abs((mine.rate * mine["size"]).sum() - target[source]) <= 1e-6 * max(1, target[source])
+        tilt = (np.log(mine.rate) / mine["size"])[(mine.rate > 0) & (mine.rate < 2) & (mine["size"] > 0)]
+        assert len(tilt) == 0 or np.ptp(tilt) < 1e-9
+    assert (abs(got.copies - got.rate) < 2).all()
     assert (got.taken <= 2 * got["size"]).all() and (got.taken == got.copies * got["size"]).all()
     out = mixing.mixed(df)
     assert out.columns == df.columns and out.count() == got.copies.sum()
 
 
+def test_mixing_repeated_rows(spark):
+    """One row a thousand times, and rows that agree but for a column that the mix doesn't read."""
+    rows = [(1, prose(1, 10), "en", "a", 0)] * 1000 + [(2, prose(2, 10), "en", "b", i) for i in range(999)] + [(3, "", "en", "b", 0)] * 3 + [(10 + i, prose(i, 7), "en", "c", i) for i in range(50)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+    for _, mine in got.groupby("source"):
+        assert abs(mine.taken.sum() - mine.target.iloc[0]) <= 5
+    out = mixing.mixed(df)
+    assert out.count() == got.copies.sum() and out.filter("doc_id = 2").groupBy("n_chars").count().agg(F.max("count")).first()[0] <= 2
+    assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, mixing.mix(df).collect()))
+
+
 # ---- SimHash ----
 
 
@@ -460,19 +486,17 @@ def slow_fits(groups):
     for g, x in groups.items():
         mid = np.array([median(c) for c in x.T])
         dev = np.array([median(np.abs(c - m)) for c, m in zip(x.T, mid, strict=True)])
-        state |= {(g, 0): (mid, np.diag((1.4826 * dev) ** 2), 0), (g, 1): (mid, np.zeros((5, 5)), 0), (g, 2): (x.mean(axis=0), np.cov(x.T, bias=True).reshape(5, 5), 0)}
-    for _ in range(quality.STEPS):
-        moved = 0
-        for (g, start), (mid, cov, _) in state.items():
-            x = groups[g]
-            cell = np.floor(np.log2(slow_distances(x, mid, cov) + 1e-6) * quality.GRID)
-            cells, n = np.unique(cell, return_counts=True)
-            inner = x[np.isin(cell, cells[np.cumsum(n) - n < quality.SHARE * len(x)])]
-            new = np.cov(inner.T, bias=True).reshape(5, 5) * scale
-            moved = max(moved, abs(logdet(new + ridge) - logdet(cov + ridge)))
-            state[(g, start)] = (inner.mean(axis=0), new, len(inner))
-        if moved <= quality.SETTLED:
-            break
+        for start, (m, cov) in enumerate([(mid, np.diag((1.4826 * dev) ** 2)), (mid, np.zeros((5, 5))), (x.mean(axis=0), np.cov(x.T, bias=True).reshape(5, 5))]):
+            least = math.inf
+            while True:
+                cell = np.floor(np.log2(slow_distances(x, m, cov) + 1e-6) * quality.GRID)
+                cells, n = np.unique(cell, return_counts=True)
+                inner = x[np.isin(cell, cells[np.cumsum(n) - n < quality.SHARE * len(x)])]
+                new = np.cov(inner.T, bias=True).reshape(5, 5) * scale
+                if not least - logdet(new + ridge) > quality.SETTLED:
+                    break
+                m, cov, least = inner.mean(axis=0), new, logdet(new + ridge)
+                state[(g, start)] = (m, cov, len(inner))
     best = {g: min((logdet(state[(g, s)][1] + ridge), s) for s in range(3))[1] for g in groups}
     return {g: state[(g, s)] for g, s in best.items()}
 

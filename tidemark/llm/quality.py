@@ -12,8 +12,8 @@ from tidemark.llm.common import GAP, row_key, stored, table, unpacked_rows, word
 
 #: The share of a group's documents whose covariance has the least determinant.
 SHARE = 0.75
-#: Concentration steps at most, and the change of the logarithm of a determinant that ends them.
-STEPS, SETTLED = 20, 1e-3
+#: Concentration steps go on as long as they lower the logarithm of the determinant by more than this.
+SETTLED = 1e-3
 #: Documents of its parent's fit that count in a group's fit besides its own.
 PRIOR = 200
 #: Squared distances are told apart in steps of a 16th of an octave.
@@ -113,16 +113,15 @@ def factor(moments: DataFrame) -> DataFrame:
     It is written out, so that the chain of steps isn't part of later plans.
     """
     given = moments.columns
-    for i, j in PAIRS:
-        inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        rest = F.col(f"s{i}{j}") + (RIDGE[i] ** 2 if i == j else 0.0) - inner
-        moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(DIM):
-        for i in range(j, DIM):
-            inner = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
-            moments = moments.withColumn(f"w{i}{j}", ((1.0 if i == j else 0.0) - inner) / F.col(f"l{i}{i}"))
-    logdet = 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIM)), F.log("l00"))
-    return stored(moments.select(*given, *(f"w{i}{j}" for i, j in PAIRS), logdet.alias("logdet")), "quality-fit")
+    for j in range(DIM):  # a column of the factor at a time, the diagonal first
+        rest = {i: " - ".join([f"s{i}{j}" + (f" + {RIDGE[i] ** 2}D" if i == j else ""), *(f"l{i}{k} * l{j}{k}" for k in range(j))]) for i in range(j, DIM)}
+        moments = moments.selectExpr("*", f"sqrt(greatest({rest[j]}, 1e-12D)) AS l{j}{j}")
+        moments = moments.selectExpr("*", *(f"({rest[i]}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, DIM)))
+    for off in range(DIM):  # its inverse by diagonals
+        inner = {j: " + ".join(f"l{j + off}{k} * w{k}{j}" for k in range(j, j + off)) for j in range(DIM - off)}
+        moments = moments.selectExpr("*", *(f"{f'-({x})' if off else '1D'} / l{j + off}{j + off} AS w{j + off}{j}" for j, x in inner.items()))
+    logdet = " + ".join(f"ln(l{i}{i})" for i in range(DIM))
+    return stored(moments.selectExpr(*given, *W, f"2 * ({logdet}) AS logdet"), "quality-fit")
 
 
 def grouped(rows: DataFrame, *lvs: int) -> DataFrame:
@@ -138,31 +137,34 @@ def distances(rows: DataFrame, fitted: DataFrame, *lvs: int) -> DataFrame:
 
     Every level is joined by itself: only sources can be so many that their fits aren't sent to all tasks.
     """
-    centred = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(X)]
-    parts = [sum((F.col(f"w{i}{j}") * centred[j] for j in range(1, i + 1)), F.col(f"w{i}0") * centred[0]) for i in range(DIM)]
+    parts = [" + ".join(f"w{i}{j} * (x{j} - m{j})" for j in range(i + 1)) for i in range(DIM)]
+    d2 = " + ".join(f"({p}) * ({p})" for p in parts)
     fits = fitted.select(*G, "s", "logdet", *M, *W)
     of = {lv: fits.filter(f"lv = {lv}") for lv in lvs} | {3: F.broadcast(fits.filter("lv = 3"))}  # one group
     joined = [grouped(rows, lv).join(of[lv], G) for lv in lvs]
-    return reduce(DataFrame.unionByName, joined).withColumn("d2", sum((p * p for p in parts[1:]), parts[0] * parts[0])).drop(*M, *W)
+    return reduce(DataFrame.unionByName, joined).withColumn("d2", F.expr(d2)).drop(*M, *W)
 
 
 def moments(sums: DataFrame, scale: float) -> DataFrame:
     """Means and scaled covariances from n, a0.. and b00.. per group and start."""
-    n = F.col("n")
-    mean = [F.col(f"a{i}") / n for i in range(DIM)]
-    return sums.select(*G, "s", "n", "old", *(mean[i].alias(f"m{i}") for i in range(DIM)), *(((F.col(f"b{i}{j}") / n - mean[i] * mean[j]) * scale).alias(f"s{i}{j}") for i, j in PAIRS))
+    return sums.selectExpr(*G, "s", "n", "old", *(f"a{i} / n AS m{i}" for i in range(DIM)), *(f"(b{i}{j} / n - a{i} / n * (a{j} / n)) * {scale}D AS s{i}{j}" for i, j in PAIRS))
 
 
 def gathered() -> list[Column]:
-    return [F.max("logdet").alias("old"), F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"a{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"b{i}{j}") for i, j in PAIRS)]
+    """Per group and start: what the fit before had as logdet, and the sums of rows."""
+    made = ["max(logdet) AS old", "count(1) AS n", *(f"sum(x{i}) AS a{i}" for i in range(DIM)), *(f"sum(x{i} * x{j}) AS b{i}{j}" for i, j in PAIRS)]
+    return [F.expr(x) for x in made]
 
 
 def added() -> list[Column]:
-    return [F.max("old").alias("old"), *(F.sum(c).alias(c) for c in ("n", *(f"a{i}" for i in range(DIM)), *(f"b{i}{j}" for i, j in PAIRS)))]
+    return [F.max("old").alias("old"), *(F.expr(f"sum({c}) AS {c}") for c in ("n", *(f"a{i}" for i in range(DIM)), *(f"b{i}{j}" for i, j in PAIRS)))]
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """Three first fits of each group: medians with scaled median deviations, medians with the ridge, means and covariance of all."""
+    """Three first fits of each group: medians with scaled median deviations, medians with the ridge, means and covariance of all.
+
+    They are no fits of a share of the documents, so their determinants count as infinite.
+    """
     rows = grouped(rows, 1, 2, 3)
     mid = stored(medians(rows, [F.col(x) for x in X]), "quality-medians")
     apart = medians(rows.join(mid.drop("n"), G), [F.abs(F.col(x) - F.col(m)) for x, m in zip(X, M, strict=True)])
@@ -171,32 +173,35 @@ def starts(rows: DataFrame) -> DataFrame:
     first = mid.join(apart, G).select(*G, F.lit(0).alias("s"), "n", *M, *diagonal(lambda i: F.pow(1.4826 * F.col(f"q{i}"), 2)))
     second = mid.select(*G, F.lit(1).alias("s"), "n", *M, *diagonal(lambda i: F.lit(0.0)))
     whole = rows.withColumns({"s": F.lit(2), "logdet": F.lit(0.0)}).groupBy(*G, "s").agg(*gathered())
-    return factor(first.unionByName(second).unionByName(moments(whole, 1.0).drop("old")))
+    return factor(first.unionByName(second).unionByName(moments(whole, 1.0).drop("old"))).withColumn("logdet", F.lit(math.inf))
 
 
 def mcd(rows: DataFrame, share: float = SHARE) -> DataFrame:
     """Minimum-covariance-determinant location and scatter of each group, of three starts.
 
     Each concentration step takes the documents with the least distances, until
-    they are `share` of the group, and fits the means and covariance of these,
-    until no determinant changes. Distances are compared on a grid, so that a
-    step needs sums by group and grid cell only, which are combined before the
-    shuffle and a few hundred a group after. The start with the least
-    determinant wins. Scatter is made consistent with the normal distribution.
+    they are `share` of the group, and fits the means and covariance of these; a
+    fit is settled when a step doesn't lower its determinant. Distances are
+    compared on a grid, so that a step needs sums by group and grid cell only,
+    which are combined before the shuffle and a few hundred a group after. The
+    start with the least determinant wins. Scatter is made consistent with the
+    normal distribution.
     """
-    fitted = starts(rows)
+    active, settled = starts(rows), []
     consistent = share / chi2_cdf(chi2_cut(1 - share, DIM), DIM + 2)
     order = Window.partitionBy(*G, "s")
-    for _ in range(STEPS):
+    while not active.isEmpty():
         cell = F.floor(F.log2(F.col("d2") + 1e-6) * GRID)
-        sums = stored(distances(rows, fitted, 1, 2, 3).groupBy(*G, "s", cell.alias("cell")).agg(*gathered()), "quality-sums")
+        sums = stored(distances(rows, active, 1, 2, 3).groupBy(*G, "s", cell.alias("cell")).agg(*gathered()), "quality-sums")
         upto = F.sum("n").over(order.orderBy("cell")) - F.col("n")
         inner = sums.withColumns({"before": upto, "all": F.sum("n").over(order)}).filter(F.col("before") < share * F.col("all"))
-        fitted = factor(moments(inner.groupBy(*G, "s").agg(*added()), consistent))
-        if fitted.filter(F.abs(F.col("logdet") - F.col("old")) > SETTLED).isEmpty():
-            break
-    best = fitted.groupBy(*G).agg(F.min(F.struct("logdet", "s")).alias("b")).select(*G, "b.s")
-    return fitted.join(best, [*G, "s"]).select(*G, "n", *M, *S)
+        new = factor(moments(inner.groupBy(*G, "s").agg(*added()), consistent))
+        less = F.col("old") - F.col("logdet") > SETTLED
+        settled.append(active.join(new.filter(~less).select(*G, "s"), [*G, "s"], "left_semi").select(*G, "s", "n", "logdet", *M, *S))
+        active = new.filter(less)
+    fits = stored(reduce(DataFrame.unionByName, settled), "quality-settled")
+    best = fits.groupBy(*G).agg(F.min(F.struct("logdet", "s")).alias("b")).select(*G, "b.s")
+    return fits.join(best, [*G, "s"]).select(*G, "n", *M, *S)
 
 
 def shrunk(fits: DataFrame) -> DataFrame:
@@ -206,17 +211,16 @@ def shrunk(fits: DataFrame) -> DataFrame:
     to these, documents with the same means and the spread SPREAD are added.
     """
     fits = stored(fits, "quality-moments")
-    w = F.col("n") / (F.col("n") + PRIOR)
+    w = f"(n / (n + {PRIOR}D))"
 
     def drawn(children: DataFrame, parents: DataFrame) -> DataFrame:
-        apart = [F.col(m) - F.col(f"p{m}") for m in M]
-        mean = [(F.col(f"p{m}") + w * d).alias(m) for m, d in zip(M, apart, strict=True)]
-        cov = [(w * F.col(f"s{i}{j}") + (1 - w) * F.col(f"ps{i}{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"s{i}{j}") for i, j in PAIRS]
+        mean = [f"p{m} + {w} * ({m} - p{m}) AS {m}" for m in M]
+        cov = [f"{w} * s{i}{j} + (1 - {w}) * ps{i}{j} + {w} * (1 - {w}) * (m{i} - pm{i}) * (m{j} - pm{j}) AS s{i}{j}" for i, j in PAIRS]
         both = children.join(parents, "l") if "l" in parents.columns else children.crossJoin(F.broadcast(parents))  # one row
-        return both.select(*G, *mean, *cov)
+        return both.selectExpr(*G, *mean, *cov)
 
-    as_parent = lambda df, *keys: df.select(*keys, *(F.col(c).alias(f"p{c}") for c in (*M, *S)))
-    every = fits.filter("lv = 3").select(*G, *M, *((w * F.col(f"s{i}{j}") + ((1 - w) * SPREAD[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
+    as_parent = lambda df, *keys: df.selectExpr(*keys, *(f"{c} AS p{c}" for c in (*M, *S)))
+    every = fits.filter("lv = 3").selectExpr(*G, *M, *(f"{w} * s{i}{j}" + (f" + (1 - {w}) * {SPREAD[i] ** 2}D" if i == j else "") + f" AS s{i}{j}" for i, j in PAIRS))
     tongues = drawn(fits.filter("lv = 2"), as_parent(every))
     sources = drawn(fits.filter("lv = 1"), as_parent(tongues, "l"))
     return factor(every.unionByName(tongues).unionByName(sources).withColumn("s", F.lit(0)))
@@ -245,9 +249,9 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     inside = chi2_cut(0.025, DIM)
     first = shrunk(mcd(rows))
     near = distances(rows, first, 1, 2, 3).filter(F.col("d2") <= inside).groupBy(*G, "s").agg(*gathered())
-    again = moments(near, 0.975 / chi2_cdf(inside, DIM + 2)).select(*G, "n", *(F.col(c).alias(f"r{c}") for c in (*M, *S)))
+    again = moments(near, 0.975 / chi2_cdf(inside, DIM + 2)).selectExpr(*G, "n", *(f"{c} AS r{c}" for c in (*M, *S)))
     # a group without a document within the point is its parent's
-    again = first.join(again, G, "left").select(*G, F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(f"r{c}", c).alias(c) for c in (*M, *S)))
+    again = first.join(again, G, "left").selectExpr(*G, "coalesce(n, 0) AS n", *(f"coalesce(r{c}, {c}) AS {c}" for c in (*M, *S)))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = distances(ok.select(F.struct(*columns).alias("_c"), "lang", "source", *X), shrunk(again), 1)
     judged = own.select("_c.*", F.lit(False).alias("base_failed"), (F.col("d2") <= chi2_cut(tail, DIM)).alias("kept"))
