@@ -139,14 +139,71 @@ def test_lm_scores(docs, rows):
             assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
-def test_lm_probabilities_add_up(spark):
-    """The model's distribution after a known word sums to one, with one unknown word."""
-    texts = [(i, "a b a c", "", "", 0) for i in range(40)]
-    probe = [(1000 + k, t, "", "", 0) for k, t in enumerate(["", "a", "b", "c", "zz"])]
-    df = spark.createDataFrame(texts + probe, COLUMNS)
-    probe_ids = [i for i, *_ in probe if zlib.crc32(str(i).encode()) % 5 == 1]
-    score = {r["doc_id"]: r["score"] for r in lm.scores(df).collect()}
-    assert all(s < 0 for s in score.values()) and len(score) == 45 and probe_ids is not None
+def slow_model(rows, weights):
+    """log10 of the model's probability of the word w after the word v, from exact counts; the texts' tokens by id."""
+    tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t, *_ in rows}
+    learn = [x for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(w for x in learn for w in x), Counter(p for x in learn for p in zip([None, *x], x, strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def log(a, w):
+        l2, l1, l0 = weights[int(math.log2(one[a])) + 1 if one[a] else 0]
+        return math.log10(l2 * two[(a, w)] / max(one[a], 1) + l1 * one[w] / n + l0 / (v + 1))
+
+    return log, tokens, one
+
+
+def learned_weights(monkeypatch, make):
+    """The weights that a run learns, and its result."""
+    kept, real = [], lm.learned
+    monkeypatch.setattr(lm, "learned", lambda *a, **k: kept.append(real(*a, **k)) or kept[-1])
+    return make(), kept[0]
+
+
+def test_lm_scores_equal_exact_counts(spark, monkeypatch):
+    """All scores, given the weights; the weights, by exact expectation maximisation; the distribution after a word."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    got, weights = learned_weights(monkeypatch, lambda: {r["doc_id"]: r["score"] for r in lm.scores(df).collect()})
+    log, tokens, one = slow_model(rows, weights)
+    for i, x in tokens.items():
+        assert got[i] == pytest.approx(sum(log(a, w) for a, w in zip([None, *x], x, strict=False)), rel=1e-9)
+    for a in [None, *(w for w, _ in one.most_common(3)), "a word that no text has"]:
+        assert sum(10 ** log(a, w) for w in [*one, "another one"]) == pytest.approx(1, abs=1e-9)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in tokens}
+    base, tune = ([x for i, x in tokens.items() if fold[i] in f] for f in ((2, 3, 4), (0,)))
+    c1, c2 = Counter(w for x in base for w in x), Counter(p for x in base for p in zip([None, *x], x, strict=False))
+    n, v = sum(c1.values()), len(c1)
+    seen = [(int(math.log2(c1[a])) + 1 if c1[a] else 0, c2[(a, w)] / max(c1[a], 1), c1[w] / n, 1 / (v + 1)) for x in tune for a, w in zip([None, *x], x, strict=False)]
+    bucket, f = np.array([s[0] for s in seen]), np.array([s[1:] for s in seen])
+    exact = np.tile([0.4, 0.4, 0.2], (65, 1))
+    for _ in range(lm.ROUNDS):
+        share = exact[bucket] * f
+        share /= share.sum(axis=1, keepdims=True)
+        exact = np.stack([np.bincount(bucket, s, 65) for s in share.T], axis=1) + 1
+        exact /= exact.sum(axis=1, keepdims=True)
+    assert abs(exact - weights)[1:].max() < 0.02
+
+
+def test_lm_routes_agree(spark):
+    """Counts that go through sums of chunks are those of one exchange."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    one, two = ({r["doc_id"]: r for r in lm.scores(df, *how).collect()} for how in ((1 << 30, 8), (20_000, 3)))
+    assert all(two[i]["n_known"] == r["n_known"] and two[i]["train_tokens"] == r["train_tokens"] and two[i]["score"] == pytest.approx(r["score"], rel=1e-9) and two[i]["base_score"] == pytest.approx(r["base_score"]) for i, r in one.items())
+
+
+@pytest.mark.parametrize("buckets", [2, 6])
+def test_lm_counts_beyond_32_bits(spark, buckets):
+    codes, counts = np.array([5, 1 << 61, 3 << 62], np.uint64), np.array([(1 << 32) + 5, 7, (1 << 33) + 1], np.uint64)
+    rows = [("t", 0, 0, -1, None, None), ("t", 1, 1, -1, None, None)]
+    rows += [("u", tune, tune, b, lm.packed(codes[p]), lm.planes(counts[p])) for tune in (0, 1) for b, p in lm.pieces(codes, 64, 2)]
+    df = spark.createDataFrame(rows, "kind string, tune int, chunk long, bucket int, data binary, more binary")
+    answers, sizes = lm.totals(lm.stored(df, "lm-test", "kind", "tune"), 2, buckets, 64)
+    assert sizes == [3, 2 * int(counts.sum()), 3, int(counts.sum())]
+    for chunk in (0, 1):
+        found = sorted(answers.filter(f"chunk = {chunk}").collect(), key=lambda r: r["bucket"])
+        assert np.concatenate([lm.joined(r["data"]) for r in found]).tolist() == (2 * counts).tolist()
+    assert np.concatenate([lm.joined(r["more"]) for r in found]).tolist() == counts.tolist()
 
 
 def test_lm_beats_unigrams_on_held_out(spark):

@@ -25,6 +25,8 @@ ship(__name__)
 FOLDS, TEST, TUNE = 5, 1, 0
 #: Tokens after which a task closes a chunk, and bytes of text for each bucket of counts.
 CHUNK_TOKENS, BUCKET_BYTES = 2_000_000, 8 << 20
+#: Ranges of hashes that a chunk's counts are cut into at most.
+FAN = 1024
 #: Bits of a pair's hash beyond those of the corpus size: one pair in a million shares its hash.
 SPARE_BITS = 20
 #: Frequencies are told apart in quarters of an octave when the weights are learned.
@@ -40,18 +42,31 @@ def packed(codes: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(joined(data, 8), dtype=np.uint64)
+    return np.cumsum(rows_of(data, 8), dtype=np.uint64)
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte plane by byte plane, which packs better."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Their width, 4 or 8 bytes as the greatest needs, and the numbers byte plane by byte plane, which packs better."""
+    width = 8 if len(numbers) and int(numbers.max()) >> 32 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def joined(data: bytes, width: int) -> np.ndarray:
+def joined(data: bytes) -> np.ndarray:
+    return rows_of(data[1:], data[0])
+
+
+def rows_of(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
+def pieces(codes: np.ndarray, bits: int, buckets: int, first: int = 0, last: int | None = None):
+    """(bucket, slice) of sorted codes of so many bits: those of each bucket from first to last that has any."""
+    where = ((codes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    last = buckets if last is None else last
+    cuts = np.searchsorted(where, np.arange(first, last + 1, dtype=np.uint64)).tolist()
+    return [(first + i, slice(s, e)) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if s < e]
+
+
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each pair of word hashes."""
     x = v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -76,11 +91,12 @@ def pairs(tokens: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray
     return kinds, at, codes
 
 
-def chunks(docs: DataFrame, buckets: int, bits: int) -> DataFrame:
+def chunks(docs: DataFrame, ranges: int, bits: int) -> DataFrame:
     """Token arrays of documents, and per chunk its distinct words and pairs with counts.
 
     kind t: a chunk's documents (ids, folds, sizes, data: tokens as indexes
-    into more: word hashes). kinds u, b: for one range of hashes (bucket) the
+    into more: word hashes). kinds u, b: for one range of hashes (bucket, one of
+    `ranges`) the
     chunk's sorted words or pairs (data) and how often its training documents
     have them (more). Chunks of the TUNE fold are apart (tune).
     """
@@ -111,12 +127,8 @@ def chunks(docs: DataFrame, buckets: int, bits: int) -> DataFrame:
             counts, order = np.bincount(at, learn, minlength=len(kinds)), np.argsort(codes)
             by = np.argsort(hashes)
             for kind, codes, counts, width in (("u", hashes[by], np.bincount(flat, learn, minlength=len(hashes))[by], 64), ("b", codes[order], counts[order], bits)):
-                where = ((codes >> np.uint64(width - 32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-                for b in range(buckets):
-                    part = slice(cuts[b], cuts[b + 1])
-                    if cuts[b] < cuts[b + 1]:
-                        yield (kind, tune, chunk, b, [], [], [], packed(codes[part]), planes(counts[part]))
+                for b, part in pieces(codes, width, ranges):
+                    yield (kind, tune, chunk, b, [], [], [], packed(codes[part]), planes(counts[part]))
 
         def batch(made):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
@@ -138,11 +150,9 @@ def chunks(docs: DataFrame, buckets: int, bits: int) -> DataFrame:
                 sizes_[tune] += len(found)
                 if sizes_[tune] >= CHUNK_TOKENS:
                     sizes_[tune] = 0
-                    for row in rows(tune):
-                        yield batch([row])
+                    yield batch(list(rows(tune)))
         for tune in list(open_):
-            for row in rows(tune):
-                yield batch([row])
+            yield batch(list(rows(tune)))
 
     names = ["kind", "tune", "chunk", "bucket", "ids", "folds", "sizes", "data", "more"]
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int")
@@ -150,31 +160,82 @@ def chunks(docs: DataFrame, buckets: int, bits: int) -> DataFrame:
     return stored(made, "lm-chunks", "kind", "tune")
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """Each chunk's words and pairs with their frequencies in all chunks.
+ASKED = "kind string, bucket int, tune int, asker long, data binary, more binary, less binary"
+ANSWER = "asker long, kind string, bucket int, tune int, data binary, more binary"
+
+
+def arrow(rows: list[tuple], names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns, strict=True)})
 
-    A bucket's owner adds up the counts of all chunks and answers each of them
-    in the order in which it asked: data has the counts in all training
-    documents, more those without the TUNE fold. Rows with chunk -1 have, for
-    both, the number of distinct words and of tokens in the bucket.
+
+def summed(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct codes of all pieces, in order, with their counts and those without the TUNE fold; each piece's places in them.
+
+    tune 0: a chunk's piece; 1: one of the TUNE fold; 2: pieces summed before, less has the counts without that fold.
+    """
+    codes = [unpacked(x.as_py()) for x in asked.column("data")]
+    more = [joined(x.as_py()) for x in asked.column("more")]
+    less = [joined(x.as_py()) if t == 2 else m * np.uint64(t == 0) for x, t, m in zip(asked.column("less"), asked.column("tune").to_pylist(), more, strict=True)]
+    kinds, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = lambda c: np.bincount(at, np.concatenate(c), len(kinds)).astype("<u8")
+    cuts = np.cumsum([0, *map(len, codes)]).tolist()
+    return kinds, total(more), total(less), [at[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def replies(asked: pa.Table, every: np.ndarray, base: np.ndarray, places: list[np.ndarray]) -> list[tuple]:
+    """For each piece its codes' counts, as ANSWER."""
+    keys = zip(*(asked.column(c).to_pylist() for c in ("asker", "kind", "bucket", "tune")), places, strict=True)
+    return [(asker, kind, bucket, t, planes(every[at]), planes(base[at]) if t else b"") for asker, kind, bucket, t, at in keys]
+
+
+def totals(found: DataFrame, ranges: int, buckets: int, bits: int) -> tuple[DataFrame, list[int]]:
+    """Each chunk's words and pairs with their frequencies in all chunks; V, N, and both without the TUNE fold.
+
+    A bucket's owner adds up the counts of all pieces of its range of hashes and
+    answers each of them in the order in which it asked: data has the counts in
+    all training documents, more those without the TUNE fold. Where there are
+    more buckets than ranges, some hundred chunks' pieces of a range are summed
+    first, and the sums ask its buckets; so the number of pieces grows with the
+    corpus, not with its square.
     """
+    spark = found.sparkSession
+    asked = found.filter(F.col("kind").isin("u", "b")).select("kind", "bucket", "tune", F.col("chunk").alias("asker"), "data", "more", F.lit(b"").alias("less"))
+    per = buckets // ranges
 
     def own(asked: pa.Table) -> pa.Table:
-        kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
-        codes = [unpacked(x.as_py()) for x in asked.column("data")]
-        counts = [joined(x.as_py(), 4) for x in asked.column("more")]
-        tune = asked.column("tune").to_pylist()
-        sizes = [len(c) for c in codes]
-        _, at = np.unique(np.concatenate(codes), return_inverse=True)
-        every = np.bincount(at, np.concatenate(counts)).astype("<u8")
-        base = np.bincount(at, np.concatenate([c * (not t) for c, t in zip(counts, tune, strict=True)])).astype("<u8")
-        cuts = np.cumsum([0, *sizes])
-        rows = [(chunk, kind, bucket, t, planes(every[at[s:e]]), planes(base[at[s:e]]) if t else b"") for chunk, t, s, e in zip(asked.column("chunk").to_pylist(), tune, cuts[:-1], cuts[1:], strict=True)]
-        rows.append((-1, kind, bucket, 0, np.array([(every > 0).sum(), every.sum()], "<u8").tobytes(), np.array([(base > 0).sum(), base.sum()], "<u8").tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "bucket", "tune", "data", "more"])
-
-    asked = found.filter(F.col("kind").isin("u", "b")).select("kind", "bucket", "tune", "chunk", "data", "more")
-    return stored(asked.groupBy("kind", "bucket").applyInArrow(own, "chunk long, kind string, bucket int, tune int, data binary, more binary"), "lm-totals")
+        _, every, base, places = summed(asked)
+        rows = [(*r, None, None, None, None) for r in replies(asked, every, base, places)]
+        rows.append((-1, asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py(), 0, b"", b"", *(int(x) for x in ((every > 0).sum(), every.sum(), (base > 0).sum(), base.sum()))))
+        return arrow(rows, ANSWER + ", v long, n long, v0 long, n0 long")
+
+    def ask(pieces_: pa.Table) -> pa.Table:
+        kind, range_, group = (pieces_.column(c)[0].as_py() for c in ("kind", "bucket", "group"))
+        codes, every, base, _ = summed(pieces_)
+        parts = pieces(codes, 64 if kind == "u" else bits, buckets, range_ * per, (range_ + 1) * per)
+        return arrow([(kind, b, 2, group, packed(codes[p]), planes(every[p]), planes(base[p])) for b, p in parts], ASKED)
+
+    def tell(key, pieces_: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")
+        every, base = (np.concatenate([joined(x.as_py()) for x in answers.column(c)]) for c in ("data", "more"))
+        return arrow(replies(pieces_, every, base, summed(pieces_)[3]), ANSWER)
+
+    if per > 1:
+        groups = -(-found.filter("kind = 't'").count() // FAN)
+        asked = asked.withColumn("group", F.pmod(F.xxhash64("asker"), F.lit(groups)))
+        first, asked = asked, stored(asked.groupBy("kind", "bucket", "group").applyInArrow(ask, ASKED), "lm-sums")
+    answers = stored(asked.groupBy("kind", "bucket").applyInArrow(own, ANSWER + ", v long, n long, v0 long, n0 long"), "lm-totals")
+    sizes = [x or 0 for x in answers.filter("asker = -1 AND kind = 'u'").agg(*(F.sum(c) for c in ("v", "n", "v0", "n0"))).first()]
+    answers = answers.filter("asker >= 0").select("asker", "kind", "bucket", "tune", "data", "more")
+    if per > 1:
+        back = answers.withColumn("range", F.expr(f"bucket div {per}")).withColumnRenamed("asker", "group")
+        both = first.withColumn("range", F.col("bucket").cast("long")).groupBy("kind", "range", "group").cogroup(back.groupBy("kind", "range", "group"))
+        answers = stored(both.applyInArrow(tell, ANSWER), "lm-answers")
+    for kind in ("u", "b"):  # answered, and as large as all the rest
+        removed(spark, f"{found._place}/kind={kind}")
+    return answers.withColumnRenamed("asker", "chunk"), sizes
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -184,10 +245,10 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
 
 def frequencies(tokens: pa.Table, answers: pa.Table, part: str, n: int, bits: int) -> tuple[np.ndarray, ...]:
     """For one chunk: its tokens, their words' counts, its pairs' f2, f1 and bucket, each token's pair."""
-    flat = joined(tokens.column("data")[0].as_py(), 4)
+    flat = joined(tokens.column("data")[0].as_py())
     hashes = np.frombuffer(tokens.column("more")[0].as_py(), "<u8")
     answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    got = {k: np.concatenate([joined(x.as_py(), 4) for x, kind in zip(answers.column(part), answers.column("kind").to_pylist(), strict=True) if kind == k]) for k in ("u", "b")}
+    got = {k: np.concatenate([joined(x.as_py()) for x, kind in zip(answers.column(part), answers.column("kind").to_pylist(), strict=True) if kind == k]) for k in ("u", "b")}
     words = np.empty(len(hashes), np.int64)
     words[np.argsort(hashes)] = got["u"]
     kinds, at, codes = pairs(flat, hashes, bits)
@@ -216,7 +277,7 @@ def learned(found: DataFrame, answers: DataFrame, v: int, n: int, bits: int, rou
         return pa.table({"b": kinds >> 32, "q2": (kinds >> 16 & 65535) - 32768, "q1": (kinds & 65535) - 32768, "c": np.bincount(at, times).astype(np.int64)})
 
     chunk = found.filter("kind = 't' and tune = 1").select("chunk", "data", "more").groupBy("chunk")
-    asked = answers.filter("chunk >= 0 and tune = 1").select("chunk", "kind", "bucket", "more").groupBy("chunk")
+    asked = answers.filter("tune = 1").select("chunk", "kind", "bucket", "more").groupBy("chunk")
     rows = chunk.cogroup(asked).applyInArrow(cells, "b long, q2 long, q1 long, c long").groupBy("b", "q2", "q1").agg(F.sum("c").alias("c")).toArrow()
     b, q2, q1, c = (rows.column(x).to_numpy() for x in ("b", "q2", "q1", "c"))
     f = np.stack([np.where(q2 == 1, 0.0, 2.0 ** (q2 / GRID)), np.where(q1 == 1, 0.0, 2.0 ** (q1 / GRID)), np.full(len(c), 1 / (v + 1))])
@@ -230,7 +291,7 @@ def learned(found: DataFrame, answers: DataFrame, v: int, n: int, bits: int, rou
     return weights
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     One row for each input row; repeated rows count as often as they occur. A
@@ -242,14 +303,11 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, max(size, 1 << 16).bit_length() + SPARE_BITS)
-    found = chunks(docs.select("doc_id", "text"), max(1, -(-size // BUCKET_BYTES)), bits)
-    answers = totals(found)
-    for kind in ("u", "b"):  # answered, and as large as all the rest
-        removed(docs.sparkSession, f"{found._place}/kind={kind}")
-    v = n = v0 = n0 = 0
-    for row in answers.filter("chunk = -1 and kind = 'u'").select("data", "more").toLocalIterator():
-        (dv, dn), (dv0, dn0) = (np.frombuffer(x, "<u8").tolist() for x in row)
-        v, n, v0, n0 = v + dv, n + dn, v0 + dv0, n0 + dn0
+    buckets = max(1, -(-size // bucket_bytes))
+    ranges = min(buckets, fan)
+    buckets = ranges * -(-buckets // ranges)
+    found = chunks(docs.select("doc_id", "text"), ranges, bits)
+    answers, (v, n, v0, n0) = totals(found, ranges, buckets, bits)
     weights = learned(found, answers, v0, n0, bits)
 
     def score(key, tokens: pa.Table, answers: pa.Table) -> pa.Table:
@@ -265,7 +323,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunk = found.filter("kind = 't'").select("chunk", "ids", "folds", "sizes", "data", "more").groupBy("chunk")
-    asked = answers.filter("chunk >= 0").select("chunk", "kind", "bucket", "data").groupBy("chunk")
+    asked = answers.select("chunk", "kind", "bucket", "data").groupBy("chunk")
     return chunk.cogroup(asked).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
