@@ -33,15 +33,20 @@ def hash_tokens(lists: list[list[str]], dim: int, signed: bool = True, l2: bool
     return out
 
 
-def embed(events: DataFrame, dim: int = 384, dtype: str = "float32", include_tags: bool = True) -> DataFrame:
-    """events with text_repr and vector, from hashed tokens; dtype rounds, storage is double."""
+def hashed(df: DataFrame, text: str, dim: int = 384, dtype: str = "float32") -> DataFrame:
+    """df with vector, from a text's hashed tokens; dtype rounds, storage is double."""
 
     @F.pandas_udf("array<double>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in parts:
             yield pd.Series(list(hash_tokens([list(x) for x in lists], dim).astype(dtype).astype(float)), index=lists.index)
 
-    return events.withColumn("text_repr", text_repr(include_tags)).withColumn("vector", vectors(tokens("text_repr")))
+    return df.withColumn("vector", vectors(tokens(text)))
+
+
+def embed(events: DataFrame, dim: int = 384, dtype: str = "float32", include_tags: bool = True) -> DataFrame:
+    """events with text_repr and its vector."""
+    return hashed(events.withColumn("text_repr", text_repr(include_tags)), "text_repr", dim, dtype)
 
 
 def embed_with(events: DataFrame, encoder: Encoder, dtype: str = "float32", include_tags: bool = True) -> DataFrame:
@@ -62,7 +67,7 @@ def query_vector(text: str, dim: int = 384) -> list[float]:
     """A query's vector by the same hashing, on the driver."""
     import re
 
-    from tidemark.functions.text import STOP
+    from tidemark.functions.text import STOP, TOKEN
 
-    found = [t for t in re.findall(r"\b[\w.\-/:]+\b", text.lower()) if len(t) > 2 and t not in STOP]
+    found = [t for t in re.findall(TOKEN.removeprefix("(?U)"), text.lower()) if len(t) > 2 and t not in STOP]
     return hash_tokens([found], dim)[0].tolist()

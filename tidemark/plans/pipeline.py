@@ -91,7 +91,7 @@ def run_evaluate(spark: SparkSession, cfg: Config, strict: bool = False) -> dict
     sweep = retrieval.latest_at_k(events, query_table(spark, QUERIES, cfg.model.dimension), 10, ALPHAS, t.half_life_days)
     logon = retrieval.latest_at_k(events, query_table(spark, LOGON_QUERIES, cfg.model.dimension), 10, ALPHAS, 3.0, within=True)
     judged = evaluate.judged(found, rows, evaluate.topics(spark))
-    tables = {"alpha_sensitivity_synth": sweep, "alpha_sensitivity_logon": logon, "trend_f1": evaluate.report(judged), "trend_macro_f1": evaluate.macro_f1(judged), "topic_timeline": trends.keyword_counts(rows, ["logon", "logoff"])}
+    tables = {"alpha_sensitivity_synth": sweep, "alpha_sensitivity_logon": logon, "trend_f1": evaluate.report(judged), "trend_macro_f1": evaluate.macro_f1(judged), "trend_topic_f1": evaluate.macro_f1(judged, keys=["topic"]), "topic_timeline": trends.keyword_counts(rows, ["logon", "logoff"])}
     for name, df in tables.items():
         sinks.write_csv(df, f"{out}/{name}.csv")
     return tables

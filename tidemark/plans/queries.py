@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark.functions import text as T
 from tidemark.functions import timeweek as W
 from tidemark.functions import vectors as V
 from tidemark.operators import encode, evaluate, kmeans, matching, retrieval, trends, validate
-from tidemark.sources import ingest
+from tidemark.sources import ingest, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,18 +81,14 @@ def scored_sql(half: float = 14.0, src: str = "ev") -> str:
     return f"sc AS (SELECT {src}.*, query, kws, {dot_sql('vector', 'qvec')} AS sim, pow(0.5, greatest(0, (epoch_us((SELECT max(ts) FROM {src})) - epoch_us(ts)) / 8.64e10) / {half}) AS recent FROM {src} CROSS JOIN qs)"
 
 
-def slice_(spark: SparkSession, d: str) -> DataFrame:
-    """Events thinned so that clusters by label grow, shrink, appear and vanish."""
-    e = events(spark, d).withColumn("w", W.iso_week_number("ts"))
-    keep = ((F.col("label") + F.col("w")) % 4 != 0) & (F.col("event_id") % 10 <= (F.col("label") * 3 + F.col("w") * 7) % 10)
-    return e.filter(keep).withColumn("week", W.iso_week("ts"))
+def weekly(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).withColumn("week", W.iso_week("ts"))
 
 
-SLICE = EVENTS + """, sl AS (SELECT *, isoyear(ts) || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS week FROM ev
-      WHERE (label + isoyear(ts) * 100 + week(ts)) % 4 <> 0 AND event_id % 10 <= (label * 3 + (isoyear(ts) * 100 + week(ts)) * 7) % 10)"""
-CENTROIDS = SLICE + """, el AS (SELECT week, label, unnest(vector)::DOUBLE AS v, generate_subscripts(vector, 1) AS i FROM sl),
+WEEKLY = EVENTS + """, we AS (SELECT *, isoyear(ts) || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS week FROM ev)"""
+CENTROIDS = WEEKLY + """, el AS (SELECT week, label, unnest(vector)::DOUBLE AS v, generate_subscripts(vector, 1) AS i FROM we),
  ce AS (SELECT week, label, list(m ORDER BY i) AS centroid FROM (SELECT week, label, i, avg(v) AS m FROM el GROUP BY ALL) GROUP BY ALL),
- cl AS (SELECT week, label, count(*) AS size, any_value(centroid) AS centroid FROM sl JOIN ce USING (week, label) GROUP BY ALL)"""
+ cl AS (SELECT week, label, count(*) AS size, any_value(centroid) AS centroid FROM we JOIN ce USING (week, label) GROUP BY ALL)"""
 PAIRS = CENTROIDS + f""", rk AS (SELECT week, row_number() OVER (ORDER BY week) AS r FROM (SELECT DISTINCT week FROM cl)),
  ck AS (SELECT cl.*, r FROM cl JOIN rk USING (week)),
  pr AS (SELECT c.week, c.label, p.week AS prev_week, p.label AS prev_label, {dot_sql('c.centroid', 'p.centroid')} / sqrt({dot_sql('c.centroid', 'c.centroid')} * {dot_sql('p.centroid', 'p.centroid')}) AS sim FROM ck c JOIN ck p ON p.r = c.r - 1)"""
@@ -107,12 +105,17 @@ TRENDS = GREEDY + """, tr AS (SELECT c.week, c.week || '_c' || c.label AS cluste
    FROM cl c LEFT JOIN ma m ON m.week = c.week AND m.label = c.label LEFT JOIN cl p ON p.week = m.prev_week AND p.label = m.prev_label)"""
 
 
-def slice_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return V.centroids(slice_(spark, d), ["week", "label"], "vector", DIM)
+def once(df: DataFrame) -> DataFrame:
+    """A few rows a week that several branches of a query use: made once, and again should an executor go."""
+    return df.persist()
+
+
+def weekly_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return once(V.centroids(weekly(spark, d), ["week", "label"], "vector", DIM))
 
 
-def slice_trends(spark: SparkSession, d: str) -> DataFrame:
-    return trends.classify(matching.matched(slice_clusters(spark, d))).withColumn("cluster_id", trends.cluster_id())
+def weekly_types(spark: SparkSession, d: str) -> DataFrame:
+    return once(trends.classify(matching.matched(weekly_clusters(spark, d))).withColumn("cluster_id", trends.cluster_id()))
 
 
 # ---- weeks ----------------------------------------------------------------------------
@@ -301,56 +304,70 @@ def rerank_demo(spark, d):
 
 @query(f"WITH {CENTROIDS} SELECT week, label, size, list_transform(centroid, lambda x: round(x, 6)) AS centroid FROM cl")
 def cluster_centroids(spark, d):
-    return slice_clusters(spark, d).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return weekly_clusters(spark, d).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
 @query(f"WITH {PAIRS} SELECT week, label, prev_week, prev_label, round(sim, 6) AS sim FROM pr")
 def cluster_cosine_pairs(spark, d):
-    return matching.pairs(slice_clusters(spark, d), -2.0).withColumn("sim", F.round("sim", 6))
+    return matching.pairs(weekly_clusters(spark, d), -2.0).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH RECURSIVE {GREEDY} SELECT week, label, prev_week, prev_label, round(sim, 6) AS sim FROM ma")
 def greedy_match(spark, d):
-    return matching.greedy(matching.pairs(slice_clusters(spark, d))).withColumn("sim", F.round("sim", 6))
+    return matching.greedy(matching.pairs(weekly_clusters(spark, d))).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, type, cluster_id, delta_size, round(drift, 6) AS drift FROM tr")
 def weekly_trends(spark, d):
-    return slice_trends(spark, d).select("week", "type", "cluster_id", F.col("delta_size").cast("long").alias("delta_size"), F.round("drift", 6).alias("drift"))
+    return weekly_types(spark, d).select("week", "type", "cluster_id", F.col("delta_size").cast("long").alias("delta_size"), F.round("drift", 6).alias("drift"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {GREEDY}, tc AS (SELECT week, label, event_type, count(*) AS n FROM we GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY week, label ORDER BY n DESC, event_type DESC) AS r FROM tc),
+ te AS (SELECT week, label, list(event_type ORDER BY r) AS terms FROM tk WHERE r <= 3 GROUP BY ALL), ct AS (SELECT cl.*, terms FROM cl JOIN te USING (week, label))
+SELECT c.week, CASE WHEN m.sim IS NULL THEN 'emergence' WHEN c.size > 1.5 * p.size AND c.size >= 30 THEN 'growth' WHEN c.size < 0.5 * p.size THEN 'decay'
+   WHEN 1 - m.sim >= 0.2 OR 1 - len(list_intersect(c.terms, p.terms)) / len(list_distinct(list_concat(c.terms, p.terms))) >= 0.6 THEN 'drift' ELSE 'stable' END AS type,
+   c.week || '_c' || c.label AS cluster_id, c.size - coalesce(p.size, 0) AS delta_size, round(coalesce(1 - m.sim, 0), 3) AS drift, array_to_string(c.terms[1:4], ' ') AS label
+FROM ct c LEFT JOIN ma m ON m.week = c.week AND m.label = c.label LEFT JOIN ct p ON p.week = m.prev_week AND p.label = m.prev_label
+"""
+)
+def trend_summary(spark, d):
+    """The published table: types by volume, cosine and terms, drift to three places, labels of terms."""
+    return trends.summary(once(weekly_clusters(spark, d).join(typed_clusters(spark, d).select("week", "label", "terms"), ["week", "label"])))
 
 
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, " + ", ".join(f"count(*) FILTER (type = '{t}') AS {t}" for t in trends.TYPES) + " FROM tr GROUP BY week")
 def trend_pivot(spark, d):
-    return trends.pivot(slice_trends(spark, d))
+    return trends.pivot(weekly_types(spark, d))
 
 
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, type, cluster_id, size FROM tr WHERE week <= '2024-W03'")
 def asof_trends_view(spark, d):
-    return trends.as_of(slice_trends(spark, d), "2024-W03").select("week", "type", "cluster_id", "size")
+    return trends.as_of(weekly_types(spark, d), "2024-W03").select("week", "type", "cluster_id", "size")
 
 
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, type, cluster_id, size FROM tr WHERE type IN ('growth', 'decay', 'drift')")
 def type_filter_view(spark, d):
-    return trends.as_of(slice_trends(spark, d), "9999-W99", ["growth", "decay", "drift"]).select("week", "type", "cluster_id", "size")
+    return trends.as_of(weekly_types(spark, d), "9999-W99", ["growth", "decay", "drift"]).select("week", "type", "cluster_id", "size")
 
 
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, cluster_id, size FROM tr WHERE week = (SELECT max(week) FROM tr)")
 def week_clusters_view(spark, d):
-    c = slice_clusters(spark, d).withColumn("cluster_id", trends.cluster_id())
+    c = weekly_clusters(spark, d).withColumn("cluster_id", trends.cluster_id())
     last = c.agg(F.max("week").alias("week"))
     return c.join(last, "week", "left_semi").select("week", "cluster_id", "size").orderBy(F.desc("size"), "cluster_id")
 
 
-TYPE_TERMS = SLICE + """, tc AS (SELECT week, label, event_type, count(*) AS n FROM sl GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY week, label ORDER BY n DESC, event_type DESC) AS r FROM tc),
- te AS (SELECT week, label, list(event_type ORDER BY r) AS terms FROM tk WHERE r <= 3 GROUP BY ALL), sz AS (SELECT week, label, count(*) AS size FROM sl GROUP BY ALL)"""
+TYPE_TERMS = WEEKLY + """, tc AS (SELECT week, label, event_type, count(*) AS n FROM we GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY week, label ORDER BY n DESC, event_type DESC) AS r FROM tc),
+ te AS (SELECT week, label, list(event_type ORDER BY r) AS terms FROM tk WHERE r <= 3 GROUP BY ALL), sz AS (SELECT week, label, count(*) AS size FROM we GROUP BY ALL)"""
 
 
 def typed_clusters(spark, d):
-    s = slice_(spark, d)
-    counts = s.groupBy("week", "label", "event_type").count()
+    counts = once(weekly(spark, d).groupBy("week", "label", "event_type").count())
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("week", "label").orderBy(F.desc("count"), F.desc("event_type")))).filter("r <= 3")
     terms = best.groupBy("week", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "event_type"))), lambda x: x["event_type"]).alias("terms"))
-    return s.groupBy("week", "label").agg(F.count(F.lit(1)).alias("size")).join(terms, ["week", "label"]).withColumn("cluster_id", trends.cluster_id())
+    return once(counts.groupBy("week", "label").agg(F.sum("count").alias("size")).join(terms, ["week", "label"]).withColumn("cluster_id", trends.cluster_id()))
 
 
 @query(f"""
@@ -392,7 +409,7 @@ SPECS = [("one", ["click", "view"], 0, 2, "growth"), ("two", ["purchase", "refun
 SPECS_SQL = "sp(topic, kws, from_rel, to_rel, gold) AS (VALUES " + ", ".join(f"('{t}', {k}, {a}, {'NULL' if b is None else b}, '{g}')" for t, k, a, b, g in SPECS) + ")"
 PICKS = (
     TRENDS
-    + f""", tc AS (SELECT week, label, event_type, count(*) AS n FROM sl GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY week, label ORDER BY n DESC, event_type DESC) AS r FROM tc),
+    + f""", tc AS (SELECT week, label, event_type, count(*) AS n FROM we GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY week, label ORDER BY n DESC, event_type DESC) AS r FROM tc),
  te AS (SELECT week, label, list(event_type ORDER BY r) AS terms FROM tk WHERE r <= 3 GROUP BY ALL), {SPECS_SQL},
  hi AS (SELECT topic, tr.week, cluster_id, tr.type, size, list_sum(list_transform(kws, lambda k: contains(array_to_string(terms, ' '), k)::INTEGER))::INTEGER AS hits FROM tr JOIN te USING (week, label) CROSS JOIN sp),
  pk AS (SELECT topic, week, cluster_id, hits, size, CASE WHEN hits = 0 THEN 'stable' ELSE type END AS pred FROM (SELECT *, row_number() OVER (PARTITION BY topic, week ORDER BY hits DESC, size DESC, cluster_id) AS r FROM hi) WHERE r = 1)"""
@@ -400,7 +417,7 @@ PICKS = (
 
 
 def picked(spark, d):
-    t = slice_trends(spark, d).select("week", "type", "cluster_id", F.lit("").alias("label"))
+    t = weekly_types(spark, d).select("week", "type", "cluster_id", F.lit("").alias("label"))
     return t, typed_clusters(spark, d).select("cluster_id", "terms", "size"), spark.createDataFrame(SPECS, "topic string, kws array<string>, from_rel long, to_rel long, gold string")
 
 
@@ -426,6 +443,16 @@ def macro_f1(spark, d):
     return evaluate.macro_f1(evaluate.judged(*picked(spark, d))).select(F.round("macro_f1", 6).alias("macro_f1"))
 
 
+@query(
+    f"""
+WITH RECURSIVE {JUDGED}, nt AS (SELECT topic, label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold <> label AND pred = label) AS fp, count(*) FILTER (gold = label AND pred <> label) AS fn FROM ju CROSS JOIN lb GROUP BY ALL)
+SELECT topic, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1 FROM nt GROUP BY topic
+"""
+)
+def topic_f1(spark, d):
+    return evaluate.macro_f1(evaluate.judged(*picked(spark, d)), keys=["topic"]).select("topic", F.round("macro_f1", 6).alias("macro_f1"))
+
+
 # ---- vectors --------------------------------------------------------------------------
 
 
@@ -451,50 +478,104 @@ def silhouette_cosine(spark, d):
     return V.silhouette(table(spark, d, "embeddings"), [], "label", "embedding", DIM).withColumn("silhouette", F.round("silhouette", 6))
 
 
-WSS_ROWS = [("a", 2, 100.0), ("a", 3, 60.0), ("a", 4, 50.0), ("a", 5, 48.0), ("a", 6, 47.0), ("b", 2, 9.0), ("b", 3, 8.0), ("c", 2, 40.0), ("c", 3, 30.0), ("c", 4, 10.0), ("c", 5, 9.0)]
-
-
-ELBOW = """
-WITH t(week, k, wss) AS (VALUES """ + ", ".join(map(str, WSS_ROWS)) + """),
+ELBOW = WEEKLY + """, ks AS (SELECT unnest([2, 3, 4, 5, 6]) AS k), el AS (SELECT week, k, label % k AS part, unnest(vector)::DOUBLE AS v, generate_subscripts(vector, 1) AS i FROM we CROSS JOIN ks),
+ ce AS (SELECT week, k, part, i, avg(v) AS c FROM el GROUP BY ALL), t AS (SELECT week, k, sum((v - c) * (v - c)) AS wss FROM el JOIN ce USING (week, k, part, i) GROUP BY ALL),
  b AS (SELECT *, lag(wss) OVER w - 2 * wss + lead(wss) OVER w AS bend, count(*) OVER (PARTITION BY week) AS n FROM t WINDOW w AS (PARTITION BY week ORDER BY k)),
  r AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY CASE WHEN n >= 3 THEN bend END DESC NULLS LAST, k) AS r FROM b)
 """
 
 
-@query(ELBOW + "SELECT week, k, wss::DOUBLE AS wss, r = 1 AS is_elbow FROM r")
+def parted_wss(spark: SparkSession, d: str) -> DataFrame:
+    """week, k, wss of partitions that SQL can make too: labels modulo k."""
+    rows = weekly(spark, d).select("week", "vector", "label", F.explode(F.array(*map(F.lit, range(2, 7)))).alias("k"))
+    return once(V.wss(rows.withColumn("part", F.col("label") % F.col("k")), ["week", "k"], "part", "vector", DIM))
+
+
+@query(f"WITH {ELBOW} SELECT week, k, round(wss, 3) AS wss, r = 1 AS is_elbow FROM r")
 def elbow_curve(spark, d):
-    return kmeans.elbow_curve(spark.createDataFrame(WSS_ROWS, "week string, k int, wss double"))
+    return kmeans.elbow_curve(parted_wss(spark, d)).withColumn("wss", F.round("wss", 3))
 
 
-@query(ELBOW + "SELECT week, k, round(bend::DOUBLE, 6) AS bend FROM r WHERE r = 1")
+@query(f"WITH {ELBOW} SELECT week, k, round(bend, 3) AS bend FROM r WHERE r = 1")
 def elbow_pick(spark, d):
-    return kmeans.elbow_picks(spark.createDataFrame(WSS_ROWS, "week string, k int, wss double"))
+    return kmeans.elbow_picks(parted_wss(spark, d)).withColumn("bend", F.round("bend", 3))
 
 
 @query()
 def kmeans_weekly(spark, d):
     """Sizes of the six clusters of each week."""
-    e = events(spark, d).withColumn("week", W.iso_week("ts"))
+    e = weekly(spark, d)
     return kmeans.cluster_weeks(e).groupBy("week", "label").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query()
 def silhouette_pick_k(spark, d):
-    e = events(spark, d).withColumn("week", W.iso_week("ts"))
+    e = weekly(spark, d)
     return spark.createDataFrame(sorted(kmeans.pick_by_silhouette(e).items()), "week string, k int")
 
 
 @query()
 def elbow_pick_k(spark, d):
-    e = events(spark, d).withColumn("week", W.iso_week("ts"))
+    e = weekly(spark, d)
     return kmeans.elbow_picks(kmeans.elbow_table(e))
 
 
-@query()
+def dense_sql(key: str, text: str, src: str, dim: int) -> str:
+    t = TOKENS.replace("regexp_extract_all(text,", f"regexp_extract_all({text},")
+    return f"""t AS (SELECT {key}, unnest({t}) AS t FROM {src}), s AS (SELECT {key}, {H32} % {dim} AS slot, sum(CASE WHEN {H32} % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM t GROUP BY ALL),
+ n AS (SELECT {key}, sqrt(sum(v * v)) AS n FROM s GROUP BY {key}), dv AS (SELECT d.{key}, list(round(coalesce(v / nullif(n, 0), 0), 6) ORDER BY r.slot) AS vector FROM {src} d CROSS JOIN range({dim}) r(slot) LEFT JOIN s ON s.{key} = d.{key} AND s.slot = r.slot LEFT JOIN n ON n.{key} = d.{key} GROUP BY d.{key})"""
+
+
+@query(f"WITH {dense_sql('doc_id', 'text', 'documents', DIM)} SELECT doc_id, vector FROM dv")
 def embed_documents(spark, d):
-    """Dense hashing vectors of events by the Arrow encoder, as their sums."""
+    """Dense hashing vectors of texts by the Arrow encoder."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return encode.hashed(docs, "text", DIM, "float64").select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(f"""
+WITH x AS (SELECT event_id::VARCHAR AS event_id, '[source=app] [type=' || event_type || '] [entity=user-' || user_id || '] msg=' || event_type || ' k=' || (props->>'k') AS text_repr FROM events),
+ {dense_sql('event_id', 'text_repr', 'x', DIM)} SELECT event_id, text_repr, vector FROM x JOIN dv USING (event_id)
+""")
+def embed_events(spark, d):
+    """The text that stands for an event, and its vector."""
     e = spread(table(spark, d, "events")).select(F.col("event_id").cast("string").alias("event_id"), F.lit("app").alias("product"), "event_type", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("asset_id"), F.col("event_type").alias("msg"), F.col("props").alias("context"), *(F.array().cast("array<string>").alias(c) for c in ("tech", "attack", "risk_tag")))
-    return encode.embed(e, 128).select("event_id", "text_repr", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(V.norm("vector"), 6).alias("norm"))
+    return encode.embed(e, DIM, "float64").select("event_id", "text_repr", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+# ---- sources and sinks -----------------------------------------------------------------
+
+
+@query("""
+SELECT 'e' || event_id AS event_id, epoch_us(ts)::BIGINT AS ts_us, 'app' AS product, event_type, 'u' || user_id AS asset_id, 'seen ' || event_type AS msg, [event_type] AS tech FROM events
+""")
+def logs_round_trip(spark, d):
+    """Events as JSONL and CSV logs, read back and normalized."""
+    e = table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"), F.lit("app").alias("source"), F.col("event_type").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.concat(F.lit("seen "), F.col("event_type")).alias("message"), F.col("event_type").alias("tech"))
+    place = sinks.scratch(spark, "logs")
+    odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    sinks.write_lines(e.filter(odd), f"{place}/a.jsonl")
+    sinks.write_table(e.filter(~odd), f"{place}/b.csv")
+    made = ingest.read_logs(spark, place)
+    return made.select("event_id", F.unix_micros("ts").alias("ts_us"), "product", "event_type", "asset_id", "msg", "tech")
+
+
+@query("""
+WITH c AS (SELECT isoyear(ts) || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS week, event_type, count(*) AS size FROM events GROUP BY ALL)
+SELECT form, week, week || '_c' || event_type AS cluster_id, size, [event_type, 'it''s'] AS terms FROM c CROSS JOIN (SELECT unnest(['csv', 'jsonl', 'parquet', 'weekly']) AS form)
+""")
+def results_round_trip(spark, d):
+    """Cluster rows through every sink and read back."""
+    c = table(spark, d, "events").groupBy(W.iso_week("ts").alias("week"), "event_type").agg(F.count(F.lit(1)).alias("size"))
+    rows = c.select("week", trends.cluster_id("week", "event_type").alias("cluster_id"), "size", F.array(F.col("event_type"), F.lit("it's")).alias("terms"))
+    place = sinks.scratch(spark, "results")
+    sinks.write_csv(rows, f"{place}/csv")
+    sinks.write_jsonl(rows, f"{place}/jsonl")
+    sinks.write_parquet(rows, f"{place}/parquet")
+    rows.write.partitionBy("week").parquet(f"{place}/weekly")
+    back = {"csv": sinks.read_clusters_csv(spark, f"{place}/csv"), "jsonl": spark.read.schema(rows.schema).json(f"{place}/jsonl"), "parquet": spark.read.parquet(f"{place}/parquet"), "weekly": spark.read.parquet(f"{place}/weekly")}
+    parts = [df.select(F.lit(form).alias("form"), F.col("week").cast("string").alias("week"), "cluster_id", F.col("size").cast("long").alias("size"), "terms") for form, df in back.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- validation -----------------------------------------------------------------------

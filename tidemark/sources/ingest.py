@@ -108,7 +108,7 @@ def normalize(records: DataFrame, record: str = "record", keep_undated: bool = F
     text = lambda field, default: F.coalesce(of(record, field, lambda f: f.text), F.lit(default))
     # what isn't an object has no ts
     objects = records.filter(F.schema_of_variant(record).startswith("OBJECT")) if keep_undated else records
-    rows = objects.select(
+    fields = F.struct(
         of(record, "ts", timestamp_of).alias("ts"),
         *(text(c, "unknown").alias(c) for c in ("product", "event_type", "asset_id")),
         text("msg", "").alias("msg"),
@@ -116,9 +116,11 @@ def normalize(records: DataFrame, record: str = "record", keep_undated: bool = F
         *(F.coalesce(of(record, c, list_of), F.array().cast("array<string>")).alias(c) for c in ("tech", "attack", "risk_tag")),
         of(record, "event_id", lambda f: f.text).alias("given"),
     )
+    # rows come out of a generator, so that the filter isn't pushed below the parsing, which would be done twice
+    made = F.filter(F.array(fields), lambda e: F.lit(keep_undated) | e["ts"].isNotNull())
+    rows = objects.select(F.inline(made))
     made = stable_id(ts_text(F.col("ts")), F.col("product"), F.col("event_type"), F.col("asset_id"), F.col("msg"))
-    rows = rows.withColumn("event_id", F.coalesce("given", made))
-    return (rows if keep_undated else rows.filter(F.col("ts").isNotNull())).select(*EVENTS.names)
+    return rows.withColumn("event_id", F.coalesce("given", made)).select(*EVENTS.names)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:

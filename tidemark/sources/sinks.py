@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,33 @@ def list_text(array: Column | str) -> Column:
 def parse_list(text: Column | str) -> Column:
     """The strings of ['a', 'b']."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(text, F.lit(r"'((?:[^'\\]|\\.)*)'"), F.lit(1))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"'((?:[^'\\]|\\.)*)'"), F.lit(1)), lambda t: F.regexp_replace(t, r"\\(.)", "$1"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the driver and all executors share (spark.checkpoint.dir).
+
+    Where that is unset and all runs on one machine, a temporary one. It goes when the session's JVM ends.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    place = f"{found or 'file://' + tempfile.gettempdir()}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return place
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSONL logs, in as many files as there are tasks."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """CSV logs with headers, in as many files as there are tasks."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
