@@ -77,6 +77,15 @@ def test_first_centres_are_drawn_from_all_vectors(spark):
     assert kmeans.fit(same, {"w": [2]}, inits=1)["w", 2][0] == 0 and len(kmeans.fit(same, {"w": [3]}, inits=1)["w", 3][1]) == 3
 
 
+def test_fits_in_one_task_are_those_of_many(spark):
+    df = blobs(spark)
+    ks = {"2024-W01": [1, 2, 3, 5], "2024-W02": [4], "2024-W03": [2]}
+    one, many = (kmeans.fit(df, ks, inits=4, task_bytes=b) for b in (1 << 30, 0))
+    assert one.keys() == many.keys() and len(one) == 6
+    for c, (cost, centres) in one.items():
+        assert cost == pytest.approx(many[c][0], rel=1e-9, abs=1e-12) and np.allclose(centres, many[c][1])
+
+
 def test_k_choices(spark):
     df = blobs(spark)
     assert kmeans.pick_by_silhouette(df, 2, 5, inits=2) == {"2024-W01": 3, "2024-W02": 3}

@@ -4,7 +4,9 @@ Lloyd's steps run for all weeks, cluster numbers and restarts together: a task
 assigns its rows to the nearest centres and returns one partial sum for each
 centre, which are added up by key. No week ever meets in one task, however
 large. Equal vectors of a week are one row with a count. First centres are
-drawn from all of these, one after the other, by squared distance.
+drawn from all of these, one after the other, by squared distance. The same
+steps are run in one task for weeks whose vectors fit into it, a task for each
+week and cluster number, which spares a job a step.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 #: Restarts, steps, and bytes of centres of one block of weeks.
 INITS, STEPS, CENTRE_BYTES = 10, 100, 64 << 20
 TOLERANCE = 1e-4
+#: Bytes of different vectors up to which a week is fitted in one task.
+TASK_BYTES = 64 << 20
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +36,58 @@ def uniform(h: np.ndarray, turn: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(12)).astype(float) * 2.0**-52 + 2.0**-53
 
 
+def padded(centres: np.ndarray, k: int) -> np.ndarray:
+    """k centres: a week with fewer vectors repeats its first one."""
+    return np.vstack([centres[:k], np.repeat(centres[:1], max(0, k - len(centres)), axis=0)])
+
+
+def fit_one(x: np.ndarray, n: np.ndarray, h: np.ndarray, k: int, inits: int, steps: int) -> tuple[float, np.ndarray]:
+    """Inertia and centres of the best restart for the vectors x, their numbers n and hashes h."""
+    best: tuple[float, np.ndarray] | None = None
+    for i in range(inits if k > 1 else 1):
+        found, d = [], np.ones(len(x))
+        for j in range(k):
+            with np.errstate(divide="ignore"):
+                race = -np.log(uniform(h, i << 20 | j)) / (n * d)
+            if not np.isfinite(race.min()):
+                break
+            found.append(x[race.argmin()])
+            far = ((x - found[-1]) ** 2).sum(axis=1)
+            d = np.minimum(d, far) if j else far
+        centres, inertia = padded(np.array(found), k), np.inf
+        for _ in range(steps):
+            label, d = nearest(x, centres)
+            cost = float((d * n).sum())
+            hot = np.zeros((k, len(x)))
+            hot[label, np.arange(len(x))] = n
+            size, sums = hot.sum(axis=1), hot @ x
+            centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+            settled = not inertia - cost > TOLERANCE * max(cost, 1e-12)
+            inertia = cost
+            if settled:
+                break
+        if best is None or inertia < best[0]:
+            best = inertia, centres
+    return best
+
+
+def _fit_small(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int) -> dict:
+    """(week, k) -> (inertia, centres) for weeks that fit a task each."""
+    asked = F.broadcast(rows.sparkSession.createDataFrame(grid, "week string, k int"))  # a row for each fit of a block
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h")
+        k = int(pdf["k"].iloc[0])
+        cost, centres = fit_one(np.stack(pdf["vector"].to_numpy()).astype(float), pdf["n"].to_numpy(float), pdf["h"].to_numpy(np.int64).view(np.uint64), k, inits, steps)
+        return pd.DataFrame([(pdf["week"].iloc[0], k, cost, centres.tolist())], columns=["week", "k", "cost", "centres"])
+
+    each = rows.select("week", "vector", "n", F.xxhash64("vector", F.lit(seed)).alias("h")).join(asked, "week")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    dealt = each.repartition(max(cores, min(len(grid), 8 * cores)), "week", "k")
+    made = dealt.groupBy("week", "k").applyInPandas(run, "week string, k int, cost double, centres array<array<double>>").collect()
+    return {(r["week"], r["k"]): (r["cost"], np.array(r["centres"])) for r in made}
+
+
 def first_centres(rows: DataFrame, counts: dict[str, int], seed: int, inits: int) -> dict:
     """(week, init) -> counts[week] centres far apart, or a centre for each vector if these are fewer.
 
@@ -78,8 +134,6 @@ def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: i
         most[week] = max(k, most.get(week, 0))
     found = first_centres(rows, most, seed, inits)
     dim = rows.select(F.size("vector")).first()[0]
-    # a week with fewer than k vectors repeats its first one
-    padded = lambda c, k: np.vstack([c[:k], np.repeat(c[:1], max(0, k - len(c)), axis=0)])
     state = {(w, k, i): padded(found[(w, i)], k) for w, k in grid for i in range(inits if k > 1 else 1)}
     inertia = dict.fromkeys(state, np.inf)
     active = set(state)
@@ -121,31 +175,30 @@ def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: i
     return {c: (e, centres) for c, (e, _, centres) in best.items()}
 
 
-def fit(df: DataFrame, ks: dict[str, list[int]], seed: int = 42, inits: int = INITS, steps: int = STEPS) -> dict:
+def fit(df: DataFrame, ks: dict[str, list[int]], seed: int = 42, inits: int = INITS, steps: int = STEPS, task_bytes: int = TASK_BYTES) -> dict:
     """(week, k) -> (inertia, centres); df: week, vector; ks: cluster numbers by week.
 
     Weeks are taken in blocks whose centres stay under CENTRE_BYTES, for these
-    are sent to every task.
+    are sent to every task or come from them.
     """
     rows = df.groupBy("week", F.col("vector").cast("array<double>").alias("vector")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("week").isin([w for w, found in ks.items() if found])).persist()
-    spread, cores = rows.select(F.spark_partition_id().alias("p")).distinct().count(), df.sparkSession.sparkContext.defaultParallelism
-    if spread < cores:  # a few large partitions would leave most cores idle in every step
-        rows, narrow = rows.repartition(cores).persist(), rows
-        rows.count()
-        narrow.unpersist()
     try:
+        sizes = {r["week"]: r["bytes"] for r in rows.groupBy("week").agg(F.sum(8 * F.size("vector")).alias("bytes")).collect()}
         dim = (rows.select(F.size("vector")).first() or [1])[0]
+        small = {w for w in ks if sizes.get(w, 0) <= task_bytes}
         out: dict = {}
-        block: list[tuple[str, int]] = []
-        size = 0
-        for week, k in [(w, k) for w, found in ks.items() for k in found]:
-            need = k * inits * dim * 8
-            if block and size + need > CENTRE_BYTES:
-                out |= _fit_block(rows, block, seed, inits, steps)
-                block, size = [], 0
-            block.append((week, k))
-            size += need
-        return out | (_fit_block(rows, block, seed, inits, steps) if block else {})
+        for chosen, run, each in ((small, _fit_small, 1), (set(ks) - small, _fit_block, inits)):
+            block: list[tuple[str, int]] = []
+            size = 0
+            for week, k in [(w, k) for w, found in ks.items() if w in chosen for k in found]:
+                need = k * each * dim * 8
+                if block and size + need > CENTRE_BYTES:
+                    out |= run(rows, block, seed, inits, steps)
+                    block, size = [], 0
+                block.append((week, k))
+                size += need
+            out |= run(rows, block, seed, inits, steps) if block else {}
+        return out
     finally:
         rows.unpersist()
 
