@@ -37,6 +37,8 @@ class Codec:
             spec = json.load(f)
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only byte-level files without normalizer and prefix space are read")
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space or stand alone are not read")
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.pieces = [b""] * self.size

@@ -17,6 +17,8 @@ ship(__name__)
 
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes read at a time; what follows a member in them is copied once for each.
+READ_BYTES = 64 << 10
 #: Payloads of at least this many bytes may become revisits.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -85,7 +87,7 @@ def members(file):
     """The unpacked gzip members of a file, one after the other."""
     data, unpacker, parts = b"", zlib.decompressobj(31), []
     while True:
-        if not data and not (data := file.read(1 << 20)):
+        if not data and not (data := file.read(READ_BYTES)):
             if parts:
                 raise ValueError("an archive ends within a record")
             return
