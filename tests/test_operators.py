@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, kmeans, matching, retrieval, trends, validate
+from tidemark.operators import encode, evaluate, kmeans, matching, retrieval, trends, validate
 from tidemark.plans.config import Config
 
 
@@ -120,6 +120,30 @@ def test_validators(spark):
     assert validate.result_errors(c, t, 2) == ["1 clusters under 2 events", "Invalid trend types found: ['odd']"]
 
 
+def test_raw_records(spark):
+    lines = spark.createDataFrame([('{"ts": 1}',), ("[1]",), ('{"msg": "x", "ts": null}',), (None,)], "value string").select(F.try_parse_json("value").alias("record"))
+    assert validate.record_errors(lines) == ["2 records are no objects", "Field 'ts' missing in 75.0% of events", "Field 'msg' missing in 75.0% of events"]
+    assert validate.record_errors(lines.limit(0)) == ["No events found"]
+
+
+def test_other_encoders(spark):
+    """A model that is made once in each task; vectors have length one, zeros stay."""
+    df = spark.createDataFrame([("a", "t", "h", "aab", "{}")], "product string, event_type string, asset_id string, msg string, context string").withColumns({c: F.array().cast("array<string>") for c in ("tech", "attack", "risk_tag")})
+    row = encode.embed_with(df, lambda: lambda texts: np.array([[t.count("a"), t.count("z"), 0.0] for t in texts])).first()
+    assert row["text_repr"] == "[source=a] [type=t] [entity=h] msg=aab" and row["vector"] == [1.0, 0.0, 0.0]
+    zero = encode.embed_with(df, lambda: lambda texts: np.zeros((len(texts), 2)), "float16").first()
+    assert zero["vector"] == [0.0, 0.0]
+
+
+def test_stages_name_what_is_missing(spark, tmp_path):
+    from tidemark.plans import log, pipeline
+
+    cfg = Config.from_dict({"paths": {"root": f"file://{tmp_path}"}})
+    for stage, error, first in (("embed", log.EmbeddingError, "ingest"), ("cluster", log.ClusteringError, "embed"), ("evaluate", log.PipelineError, "embed"), ("dashboard", log.PipelineError, "cluster")):
+        with pytest.raises(error, match=f"run the stage {first} first"):
+            pipeline.STAGES[stage](spark, cfg, True)
+
+
 def test_config(tmp_path):
     cfg = Config.from_dict({"clustering": {"default_k": 4}, "paths": {"root": "/x"}})
     cfg.to_yaml(str(tmp_path / "c.yaml"))

@@ -57,6 +57,11 @@ def as_of(trends: DataFrame, week: str, types: list[str] | None = None) -> DataF
     return (rows.filter(F.col("type").isin(types)) if types is not None else rows).orderBy("week", "type", "cluster_id")
 
 
+def tail(trends: DataFrame, n: int = 10) -> DataFrame:
+    """The last n trends in (week, cluster) order, last first."""
+    return trends.orderBy(F.desc(week_sort_key("week")), F.desc("cluster_id")).limit(n)
+
+
 def of_week(clusters: DataFrame, week: str) -> DataFrame:
     return clusters.filter(F.col("week") == week).orderBy(F.desc("size"), "cluster_id")
 

@@ -48,6 +48,17 @@ def raw_errors(raw: DataFrame, fields: tuple[str, ...] = ("ts", "msg")) -> list[
     return [f"Field '{f}' missing in {100 - row[f]:.1f}% of events" for f in fields if row[f] < 50]
 
 
+def record_errors(records: DataFrame, record: str = "record", fields: tuple[str, ...] = ("ts", "msg")) -> list[str]:
+    """What is wrong with raw records (a VARIANT column): none at all, some that are no objects, fields that most lack."""
+    has = lambda c: F.schema_of_variant(F.try_variant_get(record, f"$['{c}']", "variant")) != "VOID"
+    odd = F.coalesce(~F.schema_of_variant(record).startswith("OBJECT"), F.lit(True))
+    row = records.agg(F.count(F.lit(1)).alias("_n"), F.count_if(odd).alias("_odd"), *(F.count_if(has(c)).alias(c) for c in fields)).first()
+    if not row["_n"]:
+        return ["No events found"]
+    missing = {c: 100 - row[c] / row["_n"] * 100 for c in fields}
+    return [*([f"{row['_odd']} records are no objects"] if row["_odd"] else []), *(f"Field '{c}' missing in {x:.1f}% of events" for c, x in missing.items() if x > 50)]
+
+
 def normalized_errors(df: DataFrame) -> list[str]:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:

@@ -1,4 +1,4 @@
-"""The stages of a run: ingest, embed, cluster, evaluate."""
+"""The stages of a run: ingest, embed, cluster, evaluate, dashboard."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeweek import iso_week
 from tidemark.operators import clusters, encode, evaluate, kmeans, retrieval, trends, validate
 from tidemark.plans.config import Config
-from tidemark.plans.log import ClusteringError, EmbeddingError, IngestionError, logger, timed
+from tidemark.plans.log import ClusteringError, EmbeddingError, IngestionError, PipelineError, logger, timed
 from tidemark.sources import ingest, sinks
 
 # The evaluation queries, their keywords and the swept alphas.
@@ -30,6 +30,14 @@ def checked(errors: list[str], error: type[Exception], fatal: bool) -> None:
         raise error("; ".join(errors))
 
 
+def made_by(spark: SparkSession, stage: str, path: str, error: type[Exception]) -> DataFrame:
+    """The table that an earlier stage has written; without it, an error that names the stage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise error(f"{path} is missing: run the stage {stage} first")
+    return spark.read.parquet(path)
+
+
 @timed
 def run_ingest(spark: SparkSession, cfg: Config, strict: bool = False) -> DataFrame:
     sinks.write_parquet(ingest.read_logs(spark, cfg.paths.logs), cfg.paths.events, by_ts=True)
@@ -40,7 +48,7 @@ def run_ingest(spark: SparkSession, cfg: Config, strict: bool = False) -> DataFr
 
 @timed
 def run_embed(spark: SparkSession, cfg: Config, strict: bool = False) -> DataFrame:
-    events = spark.read.parquet(cfg.paths.events)
+    events = made_by(spark, "ingest", cfg.paths.events, EmbeddingError)
     sinks.write_parquet(encode.embed(events, cfg.model.dimension, cfg.model.dtype), cfg.paths.embedded)
     out = spark.read.parquet(cfg.paths.embedded)
     checked(validate.embedding_errors(out, cfg.model.dimension), EmbeddingError, strict)
@@ -66,7 +74,7 @@ def cluster(events: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataF
 @timed
 def run_cluster(spark: SparkSession, cfg: Config, strict: bool = False) -> None:
     out = cfg.paths.results
-    labelled, rows, _ = cluster(spark.read.parquet(cfg.paths.embedded), cfg)
+    labelled, rows, _ = cluster(made_by(spark, "embed", cfg.paths.embedded, ClusteringError), cfg)
     sinks.write_assignments(labelled, f"{out}/assignments")
     sinks.write_parquet(rows, f"{out}/clusters.parquet")
     rows = spark.read.parquet(f"{out}/clusters.parquet")
@@ -86,8 +94,8 @@ def query_table(spark: SparkSession, queries, dim: int) -> DataFrame:
 def run_evaluate(spark: SparkSession, cfg: Config, strict: bool = False) -> dict[str, DataFrame]:
     """latest_at_k and trend F1 of the results, written as CSV."""
     out, t = cfg.paths.results, cfg.time_aware
-    events = spark.read.parquet(cfg.paths.embedded)
-    rows, found = spark.read.parquet(f"{out}/clusters.parquet"), sinks.read_trends_csv(spark, f"{out}/trends_summary.csv")
+    events = made_by(spark, "embed", cfg.paths.embedded, PipelineError)
+    rows, found = made_by(spark, "cluster", f"{out}/clusters.parquet", PipelineError), sinks.read_trends_csv(spark, f"{out}/trends_summary.csv")
     sweep = retrieval.latest_at_k(events, query_table(spark, QUERIES, cfg.model.dimension), 10, ALPHAS, t.half_life_days)
     logon = retrieval.latest_at_k(events, query_table(spark, LOGON_QUERIES, cfg.model.dimension), 10, ALPHAS, 3.0, within=True)
     judged = evaluate.judged(found, rows, evaluate.topics(spark))
@@ -99,13 +107,22 @@ def run_evaluate(spark: SparkSession, cfg: Config, strict: bool = False) -> dict
 
 def dashboard(spark: SparkSession, cfg: Config, week: str | None = None, types: list[str] | None = None) -> dict[str, DataFrame]:
     """The three views of a chosen week: trends up to it, its clusters, trend counts."""
-    rows = spark.read.parquet(f"{cfg.paths.results}/clusters.parquet")
+    rows = made_by(spark, "cluster", f"{cfg.paths.results}/clusters.parquet", PipelineError)
     found = sinks.read_trends_csv(spark, f"{cfg.paths.results}/trends_summary.csv")
     week = week or rows.agg(F.max("week")).first()[0]
     return {"trends": trends.as_of(found, week, types), "clusters": trends.of_week(rows, week), "counts": trends.pivot(found)}
 
 
-STAGES = {"ingest": run_ingest, "embed": run_embed, "cluster": run_cluster, "evaluate": run_evaluate}
+@timed
+def run_dashboard(spark: SparkSession, cfg: Config, strict: bool = False) -> dict[str, DataFrame]:
+    """The views of the last week, written as CSV."""
+    views = dashboard(spark, cfg)
+    for name, df in views.items():
+        sinks.write_csv(df, f"{cfg.paths.results}/dashboard/{name}.csv")
+    return views
+
+
+STAGES = {"ingest": run_ingest, "embed": run_embed, "cluster": run_cluster, "evaluate": run_evaluate, "dashboard": run_dashboard}
 
 
 def main(args: list[str] | None = None) -> None:

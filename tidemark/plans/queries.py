@@ -347,6 +347,11 @@ def asof_trends_view(spark, d):
     return trends.as_of(weekly_types(spark, d), "2024-W03").select("week", "type", "cluster_id", "size")
 
 
+@query(f"WITH RECURSIVE {TRENDS} SELECT week, type, cluster_id, size FROM tr ORDER BY week DESC, cluster_id DESC LIMIT 10")
+def trend_tail(spark, d):
+    return trends.tail(weekly_types(spark, d)).select("week", "type", "cluster_id", "size")
+
+
 @query(f"WITH RECURSIVE {TRENDS} SELECT week, type, cluster_id, size FROM tr WHERE type IN ('growth', 'decay', 'drift')")
 def type_filter_view(spark, d):
     return trends.as_of(weekly_types(spark, d), "9999-W99", ["growth", "decay", "drift"]).select("week", "type", "cluster_id", "size")
