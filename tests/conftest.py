@@ -10,6 +10,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every expression
         .config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .getOrCreate()
