@@ -37,3 +37,23 @@ def test_run(spark):
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "ids_sha256").collect())
     assert rows(got) == rows(again)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, equal rows, empty and long texts, names that operators use; and no rows at all."""
+    line = " ".join(f"word{i}" for i in range(70))
+    rows = [
+        (1, f"{line}\n{line} more", "en", "a", 1, 0), (2, f"head of it\n{line}\nand {line}", "en", "a", 2, 0), (2, f"head of it\n{line}\nand {line}", "en", "a", 2, 0),
+        (None, f"none {line}", None, None, None, 1), (3, None, "en", "a", None, 1), (4, "", "en", None, 0, 1), (5, "one", None, "b", 3, 1), (6, "\n".join(f"{i} {line}" for i in range(3000)), "de", "b", 9, 1),
+        (7, f"Ünï \U0001f600 <|endoftext|> \x00 {line} x", "fr", "c", 9, 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _did long").withColumns({c: F.lit(1) for c in ("copies", "kept", "h", "id", "u", "key", "times", "first")})
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, "")
+            if name != "bpe":
+                assert got.columns == docs.columns
+            n = got.count()
+            assert n == 0 if docs is not df else n > 0
+            if name == "near dedup" and docs is df:
+                assert got.groupBy("doc_id", "text").count().filter("count > 1").isEmpty()

@@ -86,6 +86,7 @@ def perspectives(turns: DataFrame, size: int = PIECE_MESSAGES, **names: str) ->
     leads = made.filter("piece = 0").join(longer, F.col("conv_id").eqNullSafe(F.col("lc")), "left_semi").select(F.col("conv_id").alias("lc"), lead.alias("lead"))
     people = made.select("conv_id", F.explode(F.array_distinct(F.transform("m", lambda x: x["speaker"]))).alias("who")).filter("who IS NULL OR who <> 'system'").distinct()
     people = people.join(leads, people["conv_id"].eqNullSafe(leads["lc"]), "left").select(F.col("conv_id").alias("c"), "who", "lead")
+    people = stored(people, "chat-people")  # so that the pieces of a very long conversation can be dealt to several tasks
 
     def rendered(x: Column, who: Column) -> Column:
         own = x["speaker"].eqNullSafe(who)

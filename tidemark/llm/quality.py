@@ -187,7 +187,8 @@ def mcd(rows: DataFrame, share: float = SHARE) -> DataFrame:
     start with the least determinant wins. Scatter is made consistent with the
     normal distribution.
     """
-    active, settled = starts(rows), []
+    active = starts(rows)
+    settled = [active.select(*G, "s", "n", "logdet", *M, *S).limit(0)]  # a table without rows settles nothing
     consistent = share / chi2_cdf(chi2_cut(1 - share, DIM), DIM + 2)
     order = Window.partitionBy(*G, "s")
     while not active.isEmpty():
