@@ -49,6 +49,19 @@ def test_picks_reach_over_six_clusters(spark, tmp_path):
         assert [(r["week"], r["k"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [("2024-W01", 8)]
 
 
+def test_centroids_keep_the_sign_of_zero_and_take_rows_without_vector_or_label(spark, tmp_path):
+    rows = [(0, [-3e-7] + [0.5] * 63, 0), (1, [1e-7] + [-0.25] * 63, 0), (2, None, 0), (3, [1.0] * 64, None), (4, [2.0] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = spark.range(10).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for name in ("events", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = catalog.QUERIES["cluster_centroids"](spark, str(tmp_path)).select("week", "label", "size", "centroid").collect()
+    want = con.sql(f"SELECT week, label, size, centroid FROM ({catalog.ORACLES['cluster_centroids']})").fetchall()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want)) and "-0.0" in str(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -14,6 +14,15 @@ def doubles(v: Column | str) -> Column:
     return _col(v).cast("array<double>")
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x rounded half away from zero; what rounds to zero keeps its sign, as in SQL engines that round doubles.
+
+    F.round goes by way of a decimal, which has no negative zero.
+    """
+    x = _col(x)
+    return F.when((x < 0) & (F.round(x, digits) == 0), F.lit(-0.0)).otherwise(F.round(x, digits))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -45,8 +54,9 @@ def vector_sums(df: DataFrame, keys: list[str], vector: str, dim: int) -> DataFr
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str, dim: int) -> DataFrame:
-    """keys, size, centroid: the mean vector of each group."""
-    return vector_sums(df, keys, vector, dim).select(*keys, F.col("n").alias("size"), F.transform("sums", lambda x: x / F.col("n")).alias("centroid"))
+    """keys, size, centroid: the mean vector of each group; rows without a vector count in size alone."""
+    at = [F.avg(F.get(doubles(vector), i)).alias(f"_{i}") for i in range(dim)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *at).select(*keys, "size", F.array(*(F.col(f"_{i}") for i in range(dim))).alias("centroid"))
 
 
 def wss(df: DataFrame, keys: list[str], label: str, vector: str, dim: int) -> DataFrame:
