@@ -117,7 +117,7 @@ def slow_feature(payload):
 def test_media_columns(docs, rows):
     import tarfile
 
-    from tidemark.llm.common import fresh
+    from tidemark.llm.common import row_key, fresh
 
     folder = fresh(docs.sparkSession, "media-test")
     got = by_id(media.media_columns(docs, folder), rows)
@@ -484,6 +484,28 @@ def test_neardup_groups(spark):
     assert sorted((False, r["doc_id"]) for r in got.collect()) == slow_groups(rows)
 
 
+def test_neardup_repeated_shingles(spark):
+    """Repeats move a fingerprint, but not a set of shingles."""
+    base = prose(77, 200)
+    rows = [(1, base, "en", "a", 0), (2, base + " one two three four five" * 300, "en", "a", 0)]
+    assert [r["doc_id"] for r in neardup.deduplicated(spark.createDataFrame(rows, COLUMNS)).collect()] == [1]
+
+
+def test_neardup_large_bucket_is_settled_whole(spark, monkeypatch):
+    """Chains in which only neighbours are similar, all in one bucket: far more groups than hubs, cells and turns."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    rows = []
+    for k in range(5):
+        line = prose(4000 + k, 900).split()
+        rows += [(100 * k + i, " ".join(line[18 * i : 18 * i + 200]), "en", "a", 0) for i in range(35)]
+    docs = neardup.row_key(spark.createDataFrame([(i, t, a, b, n) for i, t, a, b, n in rows if i % 100 != 17], COLUMNS))
+    classes = neardup.signatures(docs, ("_did", "_th")).withColumns({"least": F.struct("_did", "_th"), "bands": F.array(F.lit(7).cast("long"))}).drop("_did", "_th")
+    ids = {r["id"]: r["least"]["_did"] for r in classes.collect()}
+    got = components.connected_components(neardup.near_links(classes, docs)).groupBy("root").agg(F.collect_list("v").alias("v")).collect()
+    want = [[100 * k + i for i in part] for k in range(5) for part in (range(17), range(18, 35))]
+    assert sorted(sorted(ids[bytes(v)] for v in r["v"]) for r in got) == want
+
+
 def test_neardup_recall_at_the_border(spark):
     rows, pairs, k = [], 0, 0
     while pairs < 300:

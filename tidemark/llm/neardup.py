@@ -8,6 +8,9 @@ rest down to the border; no candidate counts before its similarity is computed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,47 +26,56 @@ ship(__name__)
 SHINGLE, PERCENT = 5, 80
 #: Min-hashes of a band, and bands. A pair at 0.8 shares a band with a chance of 0.98, one at 0.5 with 0.27.
 HASHES, BANDS = 5, 10
-#: Hubs of a bucket that are compared with all of its members.
+#: Hubs of a bucket in the second turn, which are compared with all members of other groups.
 HUBS = 8
-#: Bits of 64 in which fingerprints of texts that link can differ: ten on average at 0.8, over 28 in less than one of a million.
-FAR = 28
+#: Bits of a shingle set: each of its shingles turns one of them, so two sets differ in at least as many shingles as bits.
+BITS = 512
+#: Members of a bucket that meet as many others in one task.
+CELL = 2048
 
 
 def multipliers() -> np.ndarray:
     return np.random.default_rng(1).integers(0, 2**63, HASHES * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def parity(h: np.ndarray) -> list[int]:
+    """For each of BITS places whether an odd number of the hashes h falls on it, as longs."""
+    odd = np.bincount((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, keep: tuple[str, ...], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """keep and id, fp, n, bands of each text.
+    """keep and id, fp, n, bands, bits of each text.
 
     id is a 128-bit hash of its shingles in order: texts that agree in it are
     one class. fp: the SimHash of its shingles, n: the number of different
-    ones, bands: a hash of each band's min-hashes. A text without words has
-    zeros and no bands.
+    ones, bands: a hash of each band's min-hashes, bits: the parity of these
+    hashes' numbers at each of BITS places. A text without words has zeros and
+    no bands.
     """
 
     def run(batches):
         import xxhash
 
         lanes, factors = spread(), multipliers()
-        names = [*keep, "id", "fp", "n", "bands"]
+        names = [*keep, "id", "fp", "n", "bands", "bits"]
         for batch in batches:
             made = []
             for t in batch.column(batch.num_columns - 1):
                 found = shingles(t.as_py() or "", shingle)
                 if not found:
-                    made.append((bytes(16), 0, 0, []))
+                    made.append((bytes(16), 0, 0, [], [0] * (BITS // 64)))
                     continue
                 raw = b"".join([xxhash.xxh64_digest(x, 42) for x in found])
                 whole = xxhash.xxh3_128_digest(found[0] + raw)
                 h = np.unique(np.frombuffer(raw, "<u8"))
                 least = np.min([(h[at : at + 4096, None] * factors).min(axis=0) for at in range(0, len(h), 4096)], axis=0).astype("<u8")
                 bands = [xxhash.xxh64_intdigest(least[i * HASHES : (i + 1) * HASHES].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-                made.append((whole, int.from_bytes(majority(np.frombuffer(raw, np.uint8).reshape(-1, 8), lanes), "big", signed=True), len(h), bands))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                made.append((whole, int.from_bytes(majority(np.frombuffer(raw, np.uint8).reshape(-1, 8), lanes), "big", signed=True), len(h), bands, parity(h)))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))] if made else [*batch.columns[:-1], *(pa.array([], k) for k in kinds)], names=names)
 
-    kinds = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "id binary, fp long, n long, bands array<long>"])
+    kinds = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "id binary, fp long, n long, bands array<long>, bits array<long>"])
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, kinds)
 
 
@@ -107,55 +119,124 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def rest(cells: DataFrame, most: int, percent: int) -> DataFrame:
+    """u, v, gap, more: for each u the `most` v of a cell that may be similar to it, the nearest by bits first.
+
+    cells: key, i, j, asks, id, root, n, bits. Rows that ask are u, the others
+    v, and only those of different roots meet. more: u has others in this cell.
+    """
+
+    def run(found: pa.Table) -> pa.Table:
+        asks, n = found.column("asks").to_numpy(zero_copy_only=False), found.column("n").to_numpy()
+        ids = np.array(found.column("id").to_pylist(), object)
+        bits = found.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        _, root = np.unique(np.array(found.column("root").to_pylist(), object), return_inverse=True)
+        _, rank = np.unique(ids, return_inverse=True)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        made: list[tuple] = []
+        for at in range(0, len(left), 256):
+            u = left[at : at + 256]
+            gap = np.zeros((len(u), len(right)), np.int64)
+            for w in range(BITS // 64):
+                gap += np.bitwise_count(bits[u, w][:, None] ^ bits[right, w][None])
+            both = n[u][:, None] + n[right][None]
+            gap = np.maximum(gap, np.abs(n[u][:, None] - n[right][None]))
+            ok = ((100 + percent) * gap <= (100 - percent) * both) & (root[u][:, None] != root[right][None])
+            for k in np.flatnonzero(ok.any(axis=1)):
+                v = np.flatnonzero(ok[k])
+                part = gap[k, v] / both[k, v]
+                order = np.lexsort((rank[right[v]], part))[:most]
+                made += [(ids[u[k]], ids[right[v[o]]], float(part[o]), len(v) > most) for o in order]
+        columns = zip(*made, strict=True) if made else ([], [], [], [])
+        return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.bool_()), strict=True)], names=["u", "v", "gap", "more"])
+
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "u binary, v binary, gap double, more boolean")
+
+
 def near_links(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """u, v: verified links that connect classes of similar texts; classes: id, least, fp, n, bands.
-
-    Classes that share a band are a bucket. The member with the most neighbours
-    over all its buckets is the bucket's hub, and all others are compared with
-    it. HUBS of those that don't link to it are hubs for all members in a
-    second turn: so a bucket of as many is compared whole but for pairs of
-    members of one hub. What no hub takes then is split by another band, each
-    part gets a hub from its own members, and so on until no two are left that
-    share the bands of a part. Comparisons are in proportion to members, also
-    in a group of copies that are not similar to each other. A class has at
-    most BANDS rows here at any size, but for what is split, and no bucket is
-    gathered: hubs are found by a limit before the shuffle.
+    """u, v: verified links that connect classes as all similar pairs of all buckets do; classes: id, least, fp, n, bands, bits.
+
+    Classes that share a band are a bucket, and so are those whose fingerprints
+    the trie join connects. Pairs of a bucket are settled when they are
+    compared, when links connect them already, or when their bits, which differ
+    in no more places than their shingle sets, show that they can't be similar.
+    Nothing else is left out:
+
+    First the member with the most neighbours over all its buckets is the
+    bucket's hub, and all others are compared with it. Then up to HUBS members
+    outside the largest group of the bucket are compared with all members of
+    other groups: a bucket with no more of them is settled by that. In other
+    buckets the members outside the largest group meet all members in cells of
+    about CELL times CELL, and each of them is compared with the nearest of
+    other groups, in turns of ever more until no cell has more. So the pairs of
+    a group of near copies are looked at by their bits at most; texts are
+    compared in proportion to members and to pairs that only texts can tell
+    apart.
     """
-    most, least_ = F.greatest("n", "m"), F.least("n", "m")
-    able = similar(most, least_, least_, percent) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= FAR)
-    side = classes.select(F.col("id").alias("v"), F.col("fp").alias("fq"), F.col("n").alias("m"))
-    # almost equal fingerprints: each class with the least one of its fingerprint, and these by the trie join
-    prints = stored(classes.groupBy("fp").agg(F.min("id").alias("rep")), "neardup-prints")
-    joined = links(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-    close = joined.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("rep").alias("v")))
-    close = ordered(close).join(classes.select(F.col("id").alias("u"), "fp", "n"), "u").join(side, "v").filter(able).select("u", "v")
-    done = stored(close, "neardup-pairs")
-    edges = verified(done, classes, docs, shingle, percent)
-    members = stored(classes.select("id", "fp", "n", F.posexplode("bands").alias("at", "key")), "neardup-members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = stored(members.join(sizes, "key"), "neardup-members")
+    side = classes.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("bits").alias("also"))
+    gap = F.greatest(reduce(add, (F.bit_count(F.get("bits", i).bitwiseXOR(F.get("also", i))) for i in range(BITS // 64))), F.abs(F.col("n") - F.col("m")))
+    able = (100 + percent) * gap <= (100 - percent) * (F.col("n") + F.col("m"))
+    prints = stored(classes.select("fp").distinct(), "neardup-prints")
+    trunks = connected_components(links(prints)).withColumnRenamed("v", "fp")
+    trunk = classes.select("id", "fp").join(trunks, "fp", "left").select("id", F.xxhash64(F.coalesce("root", "fp"), F.lit(-1)).alias("key"))
+    members = stored(classes.select("id", F.explode("bands").alias("key")).unionByName(trunk), "neardup-members")
+    members = stored(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key"), "neardup-members")
     score = members.groupBy("id").agg(F.sum("c").alias("score"))
-    members = stored(members.join(score, "id"), "neardup-members")
-    left, turn = members, 0
-    while not left.isEmpty():
-        rank, hubs = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id")), HUBS if turn == 1 else 1
-        hub = stored(left.withColumn("r", rank).filter(F.col("r") <= hubs).select("key", F.col("id").alias("hub"), F.col("fp").alias("fq"), F.col("n").alias("m")), "neardup-hubs")
-        meet = stored((members if turn < 2 else left).join(hub, "key").filter((F.col("id") != F.col("hub")) & able).select("key", "id", "hub", F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")), "neardup-meet")
-        new = stored(meet.select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), "neardup-pairs")
-        done = done.unionByName(new)
-        edges = edges.unionByName(verified(new, classes, docs, shingle, percent))
-        gone = meet.join(edges, ["u", "v"]).select("key", "id").unionByName(hub.select("key", F.col("hub").alias("id"))).distinct()
-        left = left.join(gone, ["key", "id"], "left_anti")
-        if turn:
-            parts = left.join(classes.select("id", "bands"), "id").withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: j > F.col("at"))))
-            left = parts.withColumns({"key": F.xxhash64("key", F.get("bands", F.col("j"))), "at": F.col("j")}).drop("bands", "j")
-            left = stored(left, "neardup-parts")
-        # one that is alone has met all others, unless it may yet be a hub for all members
-        alone = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).filter((F.col("n") == 1) & ((F.col("c") == 2) | F.lit(turn > 0))).select("key")
-        left, turn = stored(left.join(alone, "key", "left_anti"), "neardup-left"), turn + 1
+    members = stored(members.join(score, "id").join(classes.select("id", "n", "bits"), "id"), "neardup-members")
+    roots = members.select("id", F.col("id").alias("root")).distinct()
+    edges = done = classes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    turn, most = 0, 1
+    while not members.isEmpty():
+        # of the buckets that links don't connect whole, the members with their groups; main: the largest one
+        placed = members.join(roots, "id") if turn else members.withColumn("root", F.col("id"))
+        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("score", F.col("id").alias("top"))).alias("t"))
+        heads = groups.groupBy("key").agg(F.max(F.struct("k", "t", "root")).alias("x"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("q")).filter("q > 1")
+        heads = heads.select("key", F.col("x.root").alias("main"), "all", (F.col("all") - F.col("x.k")).alias("out"))
+        placed = stored(placed.join(heads, "key"), "neardup-placed")
+        again = False
+        if turn < 2:
+            outer = placed.filter("root <> main" if turn else "root = main")
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))
+            hubs = outer.select("key", "id", "root", "score").withColumn("r", rank).filter(F.col("r") <= (HUBS if turn else 1)).select("key", F.col("id").alias("hub"), F.col("root").alias("own"))
+            hubs = stored(hubs.join(side, "hub"), "neardup-hubs")
+            meet = placed.join(hubs, "key").filter((F.col("root") != F.col("own")) & able).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+            new = ordered(meet)
+        else:
+            many = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+            deal = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), many(c)).cast("int")
+            to_all = lambda c: F.explode(F.sequence(F.lit(0), many(c) - 1))
+            cut = ("id", "root", "n", "bits")
+            asking = placed.filter("root <> main").select("key", deal("out", 1).alias("i"), to_all("all").alias("j"), F.lit(True).alias("asks"), *cut)
+            asked = placed.select("key", to_all("out").alias("i"), deal("all", 2).alias("j"), F.lit(False).alias("asks"), *cut)
+            found = stored(rest(asking.unionByName(asked), most, percent), "neardup-rest")
+            again = not found.filter("more").isEmpty()
+            ranked = found.groupBy(F.col("u").alias("asker"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("gap").alias("gap")).join(done, ["u", "v"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy("gap", "u", "v")))
+            ranked = stored(ranked.filter(F.col("r") <= most + 1), "neardup-ranked")
+            again = again or not ranked.filter(F.col("r") > most).isEmpty()
+            new = ranked.filter(F.col("r") <= most).select("u", "v").distinct()
+        new = stored(new.join(done, ["u", "v"], "left_anti"), "neardup-pairs")
+        linked = verified(new, classes, docs, shingle, percent)
+        done, edges = done.unionByName(new), edges.unionByName(linked)
+        if turn == 0:
+            roots = regrouped(roots, linked)
+        elif turn == 1:
+            left = placed.filter(F.col("out") > HUBS).select("key").distinct()
+            members, roots = stored(members.join(left, "key", "left_semi"), "neardup-members"), regrouped(roots, linked)
+        elif again:
+            roots, most = regrouped(roots, linked), most * 8
+        else:
+            break
+        turn += 1
     return edges
 
 
+def regrouped(roots: DataFrame, linked: DataFrame) -> DataFrame:
+    """id, root after adding links (u, v) of ids to groups."""
+    ends = linked.join(roots.select(F.col("id").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("id").alias("v"), F.col("root").alias("b")), "v")
+    moved = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("v").alias("root"), F.col("root").alias("least"))
+    return stored(roots.join(moved, "root", "left").select("id", F.coalesce("least", "root").alias("root")), "neardup-roots")
+
+
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns: of each group of near copies the row with the least (doc_id, text hash).
 
@@ -166,7 +247,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """
     keyed = row_key(docs)
     rows = stored(signatures(keyed, ("_did", "_th"), "text", shingle), "neardup-rows")
-    classes = rows.groupBy("id").agg(F.min(F.struct("_did", "_th")).alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    classes = rows.groupBy("id").agg(F.min(F.struct("_did", "_th")).alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
     classes = stored(classes, "neardup-classes")
     roots = stored(connected_components(near_links(classes, keyed, shingle, percent)), "neardup-roots").withColumnRenamed("v", "id")
     firsts = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("first"))
