@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors as V
 from tidemark.operators import encode, evaluate, kmeans, matching, retrieval, trends, validate
 from tidemark.plans.config import Config
 
@@ -92,6 +93,21 @@ def test_k_choices(spark):
     assert {r["week"]: r["k"] for r in kmeans.elbow_picks(kmeans.elbow_table(df, 2, 5, inits=2)).collect()} == {"2024-W01": 3, "2024-W02": 3}
 
 
+def test_silhouettes_come_with_the_fits(spark, monkeypatch):
+    """Of counted rows as of the rows that these stand for, in one task as in many, and as from a pass over all rows."""
+    df = blobs(spark).withColumn("n", F.lit(3))
+    each = df.withColumn("_", F.explode(F.sequence(F.lit(1), "n"))).select("week", "vector")
+    ks = {"2024-W01": [1, 2, 3, 5], "2024-W02": [4]}
+    one, many = (kmeans.fitted(kmeans.counted(df), ks, 42, 3, task_bytes=b, scored=True) for b in (1 << 30, 0))
+    for (w, k), (_, centres, score) in one.items():
+        want = V.silhouette(kmeans.assign(each, {w: centres}), ["week"], "label", "vector", 4).first()
+        assert many[(w, k)][2] == (None if k == 1 else pytest.approx(score, abs=1e-9)) and score == (want and pytest.approx(want["silhouette"], abs=1e-9))
+    monkeypatch.setattr(V, "silhouette", None)  # no pass over all rows for each k
+    for rows in (df, each):
+        for task_bytes in (1 << 30, 0):
+            assert kmeans.pick_by_silhouette(rows, 2, 5, inits=2, task_bytes=task_bytes) == {"2024-W01": 3, "2024-W02": 3}
+
+
 def test_asof_never_returns_later_rows(spark):
     events = spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d} 00:00:00", [float(i % 3), 1.0]) for i in range(80)], "event_id long, ts string, vector array<double>").withColumn("ts", F.col("ts").cast("timestamp"))
     queries = spark.createDataFrame([("q", [1.0, 0.0])], "query string, qvec array<double>")

@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Restarts, steps, and bytes of centres of one block of weeks.
 INITS, STEPS, CENTRE_BYTES = 10, 100, 64 << 20
 TOLERANCE = 1e-4
+#: Rows of a block within a task, and silhouettes that count as equal.
+ROWS, EQUAL = 2048, 1e-12
 #: Bytes of different vectors up to which a week is fitted in one task.
 TASK_BYTES = 64 << 20
 
@@ -41,51 +44,108 @@ def padded(centres: np.ndarray, k: int) -> np.ndarray:
     return np.vstack([centres[:k], np.repeat(centres[:1], max(0, k - len(centres)), axis=0)])
 
 
+def apart(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances by subtraction: those of a centre's own row are zero."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), ROWS):
+        d = x[at : at + ROWS] - centre
+        out[at : at + ROWS] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def drawn(x: np.ndarray, n: np.ndarray, h: np.ndarray, k: int, i: int) -> np.ndarray:
+    """The first centres of restart i."""
+    found, d = [], np.ones(len(x))
+    for j in range(k):
+        with np.errstate(divide="ignore"):
+            race = -np.log(uniform(h, i << 20 | j)) / (n * d)
+        if not np.isfinite(race.min()):
+            break
+        found.append(x[race.argmin()])
+        if j < k - 1:
+            far = apart(x, found[-1])
+            d = np.minimum(d, far) if j else far
+    return padded(np.array(found), k)
+
+
+def step(x: np.ndarray, square: np.ndarray, n: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs, sizes and sums of several restarts' centres, which are (restart, k, dim); rows go through in blocks that a cache holds."""
+    count, k, dim = centres.shape
+    flat = centres.reshape(count * k, dim)
+    twice, own, first = -2 * flat.T, (flat**2).sum(axis=1), np.arange(count) * k
+    cost, size, sums = np.zeros(count), np.zeros(count * k), np.zeros((count * k, dim))
+    for at in range(0, len(x), ROWS):
+        part, times = x[at : at + ROWS], n[at : at + ROWS]
+        d = part @ twice + own
+        place = d.reshape(len(part), count, k).argmin(axis=2) + first
+        cost += times @ np.maximum(np.take_along_axis(d, place, axis=1) + square[at : at + ROWS, None], 0)
+        hot = np.zeros((len(part), count * k))
+        np.put_along_axis(hot, place, times[:, None], axis=1)
+        size += hot.sum(axis=0)
+        sums += hot.T @ part
+    return cost, size.reshape(count, k), sums.reshape(count, k, dim)
+
+
 def fit_one(x: np.ndarray, n: np.ndarray, h: np.ndarray, k: int, inits: int, steps: int) -> tuple[float, np.ndarray]:
     """Inertia and centres of the best restart for the vectors x, their numbers n and hashes h."""
-    best: tuple[float, np.ndarray] | None = None
-    for i in range(inits if k > 1 else 1):
-        found, d = [], np.ones(len(x))
-        for j in range(k):
-            with np.errstate(divide="ignore"):
-                race = -np.log(uniform(h, i << 20 | j)) / (n * d)
-            if not np.isfinite(race.min()):
-                break
-            found.append(x[race.argmin()])
-            far = ((x - found[-1]) ** 2).sum(axis=1)
-            d = np.minimum(d, far) if j else far
-        centres, inertia = padded(np.array(found), k), np.inf
-        for _ in range(steps):
-            label, d = nearest(x, centres)
-            cost = float((d * n).sum())
-            hot = np.zeros((k, len(x)))
-            hot[label, np.arange(len(x))] = n
-            size, sums = hot.sum(axis=1), hot @ x
-            centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
-            settled = not inertia - cost > TOLERANCE * max(cost, 1e-12)
-            inertia = cost
-            if settled:
-                break
-        if best is None or inertia < best[0]:
-            best = inertia, centres
-    return best
-
-
-def _fit_small(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int) -> dict:
-    """(week, k) -> (inertia, centres) for weeks that fit a task each."""
+    state = np.stack([drawn(x, n, h, k, i) for i in range(inits if k > 1 else 1)])
+    square, inertia, active = (x**2).sum(axis=1), np.full(len(state), np.inf), np.arange(len(state))
+    for _ in range(steps):
+        if not len(active):
+            break
+        cost, size, sums = step(x, square, n, state[active])
+        state[active] = np.where(size[..., None] > 0, sums / np.maximum(size, 1)[..., None], state[active])
+        moving = inertia[active] - cost > TOLERANCE * np.maximum(cost, 1e-12)
+        inertia[active] = cost
+        active = active[moving]
+    best = int(inertia.argmin())
+    return float(inertia[best]), state[best]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x**2).sum(axis=1))[:, None]
+    return x / np.where(size > 0, size, 1)
+
+
+def silhouettes(u: np.ndarray, label: np.ndarray, num: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Cosine silhouettes of unit vectors, from the sizes and sums of all clusters, as in functions/vectors.py."""
+    used = np.flatnonzero(num > 0)
+    own, m = np.searchsorted(used, label), num[used]
+    near, rows = u @ sums[used].T, np.arange(len(u))
+    a = (m[own] - near[rows, own]) / np.maximum(m[own] - 1, 1)
+    other = 1 - near / m
+    other[rows, own] = np.inf
+    b = other.min(axis=1)
+    return np.where(m[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
+
+
+def score_one(x: np.ndarray, n: np.ndarray, centres: np.ndarray) -> float | None:
+    """The mean silhouette of all rows, None with one cluster."""
+    u, label = unit(x), nearest(x, centres)[0]
+    hot = np.zeros((len(centres), len(x)))
+    hot[label, np.arange(len(x))] = n
+    num = hot.sum(axis=1)
+    return float(n @ silhouettes(u, label, num, hot @ u) / n.sum()) if (num > 0).sum() > 1 else None
+
+
+def _fit_small(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int, scored: bool = False) -> dict:
+    """(week, k) -> (inertia, centres, silhouette) for weeks that fit a task each."""
     asked = F.broadcast(rows.sparkSession.createDataFrame(grid, "week string, k int"))  # a row for each fit of a block
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
-        k = int(pdf["k"].iloc[0])
-        cost, centres = fit_one(np.stack(pdf["vector"].to_numpy()).astype(float), pdf["n"].to_numpy(float), pdf["h"].to_numpy(np.int64).view(np.uint64), k, inits, steps)
-        return pd.DataFrame([(pdf["week"].iloc[0], k, cost, centres.tolist())], columns=["week", "k", "cost", "centres"])
+    def run(found: pa.Table) -> pa.Table:
+        h = found.column("h").to_numpy()
+        by, week, k = np.argsort(h, kind="stable"), found.column("week")[0].as_py(), found.column("k")[0].as_py()
+        x = found.column("vector").combine_chunks().flatten().to_numpy().reshape(len(h), -1)[by]
+        n = found.column("n").to_numpy()[by].astype(float)
+        cost, centres = fit_one(x, n, h[by].view(np.uint64), k, inits, steps)
+        score = score_one(x, n, centres) if scored else None
+        return pa.table([pa.array([v], t) for v, t in ((week, pa.string()), (k, pa.int32()), (cost, pa.float64()), (score, pa.float64()), (centres.tolist(), pa.list_(pa.list_(pa.float64()))))], names=["week", "k", "cost", "score", "centres"])
 
     each = rows.select("week", "vector", "n", F.xxhash64("vector", F.lit(seed)).alias("h")).join(asked, "week")
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    dealt = each.repartition(max(cores, min(len(grid), 8 * cores)), "week", "k")
-    made = dealt.groupBy("week", "k").applyInPandas(run, "week string, k int, cost double, centres array<array<double>>").collect()
-    return {(r["week"], r["k"]): (r["cost"], np.array(r["centres"])) for r in made}
+    dealt = each.repartition(max(cores, min(4 * len(grid), 8 * cores)), "week", "k")
+    made = dealt.groupBy("week", "k").applyInArrow(run, "week string, k int, cost double, score double, centres array<array<double>>").collect()
+    return {(r["week"], r["k"]): (r["cost"], np.array(r["centres"]), r["score"]) for r in made}
 
 
 def first_centres(rows: DataFrame, counts: dict[str, int], seed: int, inits: int) -> dict:
@@ -126,8 +186,50 @@ def first_centres(rows: DataFrame, counts: dict[str, int], seed: int, inits: int
     return found
 
 
-def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int) -> dict:
-    """(week, k) -> (inertia, centres) for one block of weeks; rows: week, vector, n."""
+def _score_block(rows: DataFrame, centres: dict) -> dict:
+    """(week, k) -> the mean silhouette, for one block of weeks: cluster sums in one job, silhouettes in the next."""
+    dim = len(next(iter(centres.values()))[0])
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def sums(batches):
+        found: dict = {}
+        for pdf in batches:
+            for week, part in pdf.groupby("week"):
+                x, n = np.stack(part["vector"].to_numpy()).astype(float), part["n"].to_numpy(float)
+                u = unit(x)
+                for (w, k), c in shared.value.items():
+                    if w == week:
+                        hot = np.zeros((len(c), len(x)))
+                        hot[nearest(x, c)[0], np.arange(len(x))] = n
+                        new = np.column_stack([hot.sum(axis=1), hot @ u])
+                        found[(w, k)] = found[(w, k)] + new if (w, k) in found else new
+        yield pd.DataFrame([(w, k, j, r.tolist()) for (w, k), m in found.items() for j, r in enumerate(m)], columns=["week", "k", "label", "sums"])
+
+    parts = rows.mapInPandas(sums, "week string, k int, label int, sums array<double>").groupBy("week", "k", "label").agg(*(F.sum(F.get("sums", d)).alias(f"_{d}") for d in range(dim + 1)))
+    total = {c: np.zeros((len(m), dim + 1)) for c, m in centres.items()}
+    for r in parts.select("week", "k", "label", F.array(*(F.col(f"_{d}") for d in range(dim + 1))).alias("sums")).collect():
+        total[(r["week"], r["k"])][r["label"]] = r["sums"]
+    totals = rows.sparkSession.sparkContext.broadcast({c: m for c, m in total.items() if (m[:, 0] > 0).sum() > 1})
+
+    def values(batches):
+        found: dict = {}
+        for pdf in batches:
+            for week, part in pdf.groupby("week"):
+                x, n = np.stack(part["vector"].to_numpy()).astype(float), part["n"].to_numpy(float)
+                u = unit(x)
+                for (w, k), m in totals.value.items():
+                    if w == week:
+                        found[(w, k)] = found.get((w, k), 0.0) + float(n @ silhouettes(u, nearest(x, shared.value[(w, k)])[0], m[:, 0], m[:, 1:]))
+        yield pd.DataFrame([(w, k, v) for (w, k), v in found.items()], columns=["week", "k", "value"])
+
+    added = rows.mapInPandas(values, "week string, k int, value double").groupBy("week", "k").agg(F.sum("value").alias("value")).collect()
+    shared.unpersist()
+    totals.unpersist()
+    return {(r["week"], r["k"]): r["value"] / total[(r["week"], r["k"])][:, 0].sum() for r in added}
+
+
+def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: int, steps: int, scored: bool = False) -> dict:
+    """(week, k) -> (inertia, centres, silhouette) for one block of weeks; rows: week, vector, n."""
     spark = rows.sparkSession
     most: dict[str, int] = {}
     for week, k in grid:
@@ -172,35 +274,48 @@ def _fit_block(rows: DataFrame, grid: list[tuple[str, int]], seed: int, inits: i
     for (w, k, i), centres in state.items():
         if (w, k) not in best or (inertia[(w, k, i)], i) < best[(w, k)][:2]:
             best[(w, k)] = (inertia[(w, k, i)], i, centres)
-    return {c: (e, centres) for c, (e, _, centres) in best.items()}
+    scores = _score_block(rows, {c: centres for c, (_, _, centres) in best.items()}) if scored else {}
+    return {c: (e, centres, scores.get(c)) for c, (e, _, centres) in best.items()}
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """week, vector, n: the different vectors of each week; df: week, vector, and n if its rows stand for several."""
+    n = F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+    return df.groupBy("week", F.col("vector").cast("array<double>").alias("vector")).agg(n.alias("n"))
 
 
 def fit(df: DataFrame, ks: dict[str, list[int]], seed: int = 42, inits: int = INITS, steps: int = STEPS, task_bytes: int = TASK_BYTES) -> dict:
-    """(week, k) -> (inertia, centres); df: week, vector; ks: cluster numbers by week.
+    """(week, k) -> (inertia, centres); df: week, vector; ks: cluster numbers by week."""
+    rows = counted(df).filter(F.col("week").isin([w for w, found in ks.items() if found])).persist()
+    try:
+        return {c: m[:2] for c, m in fitted(rows, ks, seed, inits, steps, task_bytes).items()}
+    finally:
+        rows.unpersist()
+
+
+def fitted(rows: DataFrame, ks: dict[str, list[int]], seed: int, inits: int, steps: int = STEPS, task_bytes: int = TASK_BYTES, scored: bool = False) -> dict:
+    """(week, k) -> (inertia, centres, silhouette if scored); rows: those of counted(), which are read several times.
 
     Weeks are taken in blocks whose centres stay under CENTRE_BYTES, for these
     are sent to every task or come from them.
     """
-    rows = df.groupBy("week", F.col("vector").cast("array<double>").alias("vector")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("week").isin([w for w, found in ks.items() if found])).persist()
-    try:
-        sizes = {r["week"]: r["bytes"] for r in rows.groupBy("week").agg(F.sum(8 * F.size("vector")).alias("bytes")).collect()}
-        dim = (rows.select(F.size("vector")).first() or [1])[0]
-        small = {w for w in ks if sizes.get(w, 0) <= task_bytes}
-        out: dict = {}
-        for chosen, run, each in ((small, _fit_small, 1), (set(ks) - small, _fit_block, inits)):
-            block: list[tuple[str, int]] = []
-            size = 0
-            for week, k in [(w, k) for w, found in ks.items() if w in chosen for k in found]:
-                need = k * each * dim * 8
-                if block and size + need > CENTRE_BYTES:
-                    out |= run(rows, block, seed, inits, steps)
-                    block, size = [], 0
-                block.append((week, k))
-                size += need
-            out |= run(rows, block, seed, inits, steps) if block else {}
-        return out
-    finally:
-        rows.unpersist()
+    rows = rows.filter(F.col("week").isin([w for w, found in ks.items() if found]))
+    sizes = {r["week"]: r["bytes"] for r in rows.groupBy("week").agg(F.sum(8 * F.size("vector")).alias("bytes")).collect()}
+    dim = (rows.select(F.size("vector")).first() or [1])[0]
+    small = {w for w in ks if sizes.get(w, 0) <= task_bytes}
+    out: dict = {}
+    for chosen, run, each in ((small, _fit_small, 1), (set(ks) - small, _fit_block, inits)):
+        block: list[tuple[str, int]] = []
+        size = 0
+        for week, k in [(w, k) for w, found in ks.items() if w in chosen for k in found]:
+            need = k * each * dim * 8
+            if block and size + need > CENTRE_BYTES:
+                out |= run(rows, block, seed, inits, steps, scored)
+                block, size = [], 0
+            block.append((week, k))
+            size += need
+        out |= run(rows, block, seed, inits, steps, scored) if block else {}
+    return out
 
 
 def assign(df: DataFrame, centres: dict[str, np.ndarray], vector: str = "vector") -> DataFrame:
@@ -223,24 +338,30 @@ def week_sizes(df: DataFrame, least: int) -> dict[str, int]:
     return {r["week"]: r["count"] for r in df.groupBy("week").count().filter(F.col("count") >= least).orderBy("week").collect()}
 
 
-def pick_by_silhouette(df: DataFrame, k_min: int = 2, k_max: int = 10, least: int = 5, seed: int = 42, inits: int = INITS) -> dict[str, int]:
-    """The k with the best cosine silhouette for each week; the first of equal ones."""
-    from tidemark.functions.vectors import silhouette
+def pick_by_silhouette(df: DataFrame, k_min: int = 2, k_max: int = 10, least: int = 5, seed: int = 42, inits: int = INITS, task_bytes: int = TASK_BYTES) -> dict[str, int]:
+    """The k with the best cosine silhouette for each week; the first of equal ones.
 
-    sizes = week_sizes(df, least)
-    ks = {w: list(range(k_min, min(k_max, n) + 1)) for w, n in sizes.items() if n > k_min}
+    df: week, vector, and n if its rows stand for several. Silhouettes are found
+    where the fits are, from different vectors and their numbers; rows of df are
+    read once.
+    """
+    rows = counted(df.dropna(subset=["week", "vector"])).persist()
+    try:
+        found = rows.groupBy("week").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy("week").collect()
+        sizes = {r["week"]: r["n"] for r in found}
+        ks = {w: list(range(k_min, min(k_max, n) + 1)) for w, n in sizes.items() if n > k_min}
+        models = fitted(rows, ks, seed, inits, task_bytes=task_bytes, scored=True)
+    finally:
+        rows.unpersist()
     picked = {w: max(1, n) for w, n in sizes.items() if n <= k_min}
-    models = fit(df, ks, seed, inits)
-    dim = (df.select(F.size("vector")).first() or [1])[0]
-    best: dict[str, tuple[float, int]] = {w: (-1.0, k_min) for w in ks}
-    for k in range(k_min, k_max + 1):
-        centres = {w: c for (w, n), (_, c) in models.items() if n == k}
-        if centres:
-            rows = assign(df.select("week", "vector"), centres)
-            for r in silhouette(rows, ["week"], "label", "vector", dim).collect():
-                if r["silhouette"] > best[r["week"]][0]:
-                    best[r["week"]] = (r["silhouette"], k)
-    return picked | {w: k for w, (_, k) in best.items()}
+    for w, tried in ks.items():
+        best = (-1.0, k_min)
+        for k in tried:
+            score = models[(w, k)][2]
+            if score is not None and score > best[0] + EQUAL:
+                best = (score, k)
+        picked[w] = best[1]
+    return picked
 
 
 def elbow_table(df: DataFrame, k_min: int = 2, k_max: int = 10, least: int = 5, seed: int = 42, inits: int = INITS) -> DataFrame:
